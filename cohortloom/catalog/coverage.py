@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cohortloom.catalog.registry import MIN_TOKENS, NOTE_TYPES, VERSION, query, tokens
+from cohortloom.catalog.registry import MIN_TOKENS, NOTE_TYPES, TOP_K, VERSION, query, tokens
 from cohortloom.operators import coverage as cv
 from cohortloom.operators import labels as lb
 from cohortloom.operators import profile as pf
@@ -31,7 +31,7 @@ def _(t):
 )
 def _(t):
     codes = cv.restrict_codes_to_cohort(filter_code_version(t.diagnoses), silver(t))
-    return lb.restrict_to_labels(codes, lb.top_k_codes(codes, 10))
+    return lb.restrict_to_labels(codes, lb.top_k_codes(codes, TOP_K))
 
 
 @query(
@@ -139,7 +139,7 @@ def _(t):
 def _(t):
     notes = silver(t)
     codes = cv.restrict_codes_to_cohort(filter_code_version(t.diagnoses), notes)
-    cells = lb.label_cells(codes, lb.top_k_codes(codes, 10))
+    cells = lb.label_cells(codes, lb.top_k_codes(codes, TOP_K))
     per = cells.groupBy("hadm_id").agg(F.count(F.lit(1)).alias("n_labels"))
     placed = sp.join_split_manifest(notes, sp.patient_split(notes))
     return placed.join(per, "hadm_id").select("hadm_id", "note_id", "split", "n_labels")

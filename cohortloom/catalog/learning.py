@@ -30,7 +30,7 @@ def _(t):
 @query("word_ngrams", "SELECT note_id, term, tf FROM doc_terms")
 def _(t):
     terms = fx.document_terms(t.texts, key="note_id")
-    return terms.select("note_id", F.inline("terms"))
+    return fx.unfolded_terms(terms, "note_id")
 
 
 def _terms(t):
@@ -91,7 +91,7 @@ class Trained:
         from cohortloom.operators.coverage import restrict_to_coded_cohort
 
         notes = cut_lineage(restrict_to_coded_cohort(keys, t.diagnoses), "cohort")
-        target = lb.build_labels(notes.select("hadm_id"), t.diagnoses, k)
+        target = lb.build_labels(notes.select("hadm_id"), t.diagnoses, k, gate=0.95)
         self.labels, self.cells = target.labels, cut_lineage(target.cells, "cells")
         self.manifest = cut_lineage(sp.patient_split(notes.select("hadm_id", "subject_id")), "manifest")
         self.terms = cut_lineage(fx.document_terms(notes), "terms")
@@ -175,12 +175,12 @@ def _(t):
 
 
 # a probability per chunk and label, made of the place of the chunk and the code
-_CHUNK_PROB = "((chunk_idx * 31 + {n} * 7 + length(note_id) * 13) % 89) / 89.0"
+_CHUNK_PROB = "CAST((chunk_idx * 31 + {n} * 7 + length(note_id) * 13) % 89 AS DOUBLE) / 89.0"
 
 
 @query(
     "maxpool_chunks",
-    f"""SELECT note_id, icd_code, coalesce(max({_CHUNK_PROB.format(n="label_idx")}::DOUBLE), 0) AS prob
+    f"""SELECT note_id, icd_code, coalesce(max({_CHUNK_PROB.format(n="label_idx")}), 0) AS prob
        FROM notes CROSS JOIN label_names LEFT JOIN ({_CHUNKS}) c USING (note_id) GROUP BY 1, 2""",
 )
 def _(t):

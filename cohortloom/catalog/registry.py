@@ -18,7 +18,7 @@ from cohortloom.sources import views
 NOTE_TYPES = ("en", "fr", "de")
 MIN_TOKENS = 100
 VERSION = 10
-TOP_K = 10
+TOP_K = 25
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -195,7 +195,7 @@ def _(t):
 
 
 PARAMS = RunParams(
-    cohort=CohortParams(10, MIN_TOKENS, 4, NOTE_TYPES),
+    cohort=CohortParams(10, MIN_TOKENS, 4, NOTE_TYPES, max_unlabelled=0.95),
     features=FeatureParams((1, 1), 2, 3000),
     model=ModelParams(max_iter=30),
     evaluation=EvalParams(k_list=(1, 3)),

@@ -86,16 +86,15 @@ def _fold_tables() -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
 def fold_accents(text: Column) -> Column:
     """Compatibility decomposition without combining marks, as one ``translate`` call.
 
-    Only texts with a character outside ASCII pay for it.
+    Only texts with a character outside ASCII (more bytes than characters) pay for it.
     """
     source, target, dropped, ligatures = _fold_tables()
     folded = F.translate(text, source + dropped, target)
-    letters = "".join(char for char, _ in ligatures)
-    unfolded = folded
-    for char, replacement in ligatures:
-        unfolded = F.replace(unfolded, F.lit(char), F.lit(replacement))
-    folded = F.when(folded.rlike(f"[{letters}]"), unfolded).otherwise(folded)
-    return F.when(text.rlike(r"[^\x00-\x7f]"), folded).otherwise(text)
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c, s in ligatures])
+    unfolded = F.aggregate(pairs, folded, lambda done, p: F.replace(done, p["c"], p["s"]))
+    has_ligature = text.rlike("[" + "".join(char for char, _ in ligatures) + "]")
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, text).when(has_ligature, unfolded).otherwise(folded)
 
 
 def tokenize_words(text: Column) -> Column:

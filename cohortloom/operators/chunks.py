@@ -22,7 +22,7 @@ def chunk_tokens(
     tokens = squeezed.select(key, F.split("_text", " ").alias("_tokens"))
     last = F.greatest(F.ceil((F.size("_tokens") - window) / F.lit(float(step))), F.lit(0))
     starts = F.sequence(F.lit(0), last.cast("int"))
-    numbered = tokens.select(key, "_tokens", F.explode(starts).alias("chunk_idx"))
+    numbered = tokens.select(key, "_tokens", F.explode_outer(starts).alias("chunk_idx"))
     first = F.col("chunk_idx") * step + 1
     return numbered.select(
         key, "chunk_idx", F.slice("_tokens", first, F.lit(window)).alias("tokens")

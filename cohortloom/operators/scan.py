@@ -58,7 +58,9 @@ def phi_scan(
     ]
     text = F.col("text")
     hits = F.filter(F.array(*[_finding(text, r, window) for r in tried]), lambda f: f.isNotNull())
-    return docs.select(key, hits.alias("_hits")).select(key, F.inline("_hits"))
+    # the outer form keeps the optimizer from evaluating all rules a second time to test for none
+    found = docs.select(key, hits.alias("_hits")).select(key, F.inline_outer("_hits"))
+    return found.filter(F.col("rule_id").isNotNull())
 
 
 def clinical_prose_flag(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -40,7 +40,8 @@ def run_gold(spark: SparkSession, params: RunParams, stages: StagePaths) -> None
     version, k = params.cohort.code_version, params.cohort.top_k
     write_stage(restrict_to_coded_cohort(notes, diagnoses, version), stages.gold("notes"))
     cohort = read_stage(spark, stages.gold("notes"), "gold")
-    target = lb.build_labels(cohort.select(KEY), diagnoses, k, version)
+    gate = params.cohort.max_unlabelled
+    target = lb.build_labels(cohort.select(KEY), diagnoses, k, version, gate)
     write_stage(target.cells, stages.gold("labels"))
     write_stage(target.labels, stages.gold("label_names"))
 
