@@ -8,6 +8,7 @@ from cohortloom.operators import labels as lb
 from cohortloom.operators import profile as pf
 from cohortloom.operators import scores as sc
 from cohortloom.operators import splits as sp
+from cohortloom.session import cut_lineage
 from cohortloom.operators.curate import build_silver_notes, filter_code_version
 
 
@@ -15,6 +16,11 @@ def silver(t):
     return build_silver_notes(t.notes, NOTE_TYPES, MIN_TOKENS)
 
 
+def silver_keys(t):
+    """Admissions and subjects of the silver notes, written down for readers that need them twice."""
+    return cut_lineage(silver(t).select("note_id", "hadm_id", "subject_id"), "silver-keys")
+
+
 @query("restrict_to_coded_cohort", "SELECT note_id, hadm_id, n_tokens FROM cohort")
 def _(t):
     return cv.restrict_to_coded_cohort(silver(t), t.diagnoses).select("note_id", "hadm_id", "n_tokens")
@@ -30,7 +36,7 @@ def _(t):
     "SELECT hadm_id, icd_code FROM cohort_codes WHERE icd_code IN (SELECT icd_code FROM cohort_labels)",
 )
 def _(t):
-    codes = cv.restrict_codes_to_cohort(filter_code_version(t.diagnoses), silver(t))
+    codes = cv.restrict_codes_to_cohort(filter_code_version(t.diagnoses), silver_keys(t))
     return lb.restrict_to_labels(codes, lb.top_k_codes(codes, TOP_K))
 
 
@@ -137,7 +143,7 @@ def _(t):
        GROUP BY s.hadm_id, s.note_id, split""",
 )
 def _(t):
-    notes = silver(t)
+    notes = silver_keys(t)
     codes = cv.restrict_codes_to_cohort(filter_code_version(t.diagnoses), notes)
     cells = lb.label_cells(codes, lb.top_k_codes(codes, TOP_K))
     per = cells.groupBy("hadm_id").agg(F.count(F.lit(1)).alias("n_labels"))

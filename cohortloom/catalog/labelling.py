@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cohortloom.catalog.coverage import silver
+from cohortloom.catalog.coverage import silver, silver_keys
 from cohortloom.catalog.registry import TOP_K, query
 from cohortloom.operators import coverage as cv
 from cohortloom.operators import labels as lb
@@ -84,7 +84,7 @@ def _(t):
 
 @query("patient_split", "SELECT hadm_id, subject_id, split FROM manifest")
 def _(t):
-    return sp.patient_split(silver(t))
+    return sp.patient_split(silver_keys(t))
 
 
 @query(
@@ -93,7 +93,7 @@ def _(t):
        HAVING count(DISTINCT split) > 1""",
 )
 def _(t):
-    return sp.split_disjoint_check(sp.patient_split(silver(t)))
+    return sp.split_disjoint_check(sp.patient_split(silver_keys(t)))
 
 
 @query(
@@ -102,7 +102,7 @@ def _(t):
        FROM manifest GROUP BY split""",
 )
 def _(t):
-    return sp.split_counts(sp.patient_split(silver(t)))
+    return sp.split_counts(sp.patient_split(silver_keys(t)))
 
 
 @query(
@@ -114,4 +114,4 @@ def _(t):
 def _(t):
     notes, labels = target(t)
     matrix = lb.build_label_matrix(notes, labels.cells, labels.labels)
-    return sp.label_coverage_report(matrix, sp.patient_split(silver(t)))
+    return sp.label_coverage_report(matrix, sp.patient_split(silver_keys(t)))

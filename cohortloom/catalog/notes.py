@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cohortloom.catalog.coverage import silver_keys
 from cohortloom.catalog.registry import (
     MIN_TOKENS, NOTE_TYPES, clean, norm, query, tokens,
 )
@@ -223,6 +224,5 @@ def _(t):
        WHERE (split = 'train' AND rn <= 150) OR (split = 'val' AND rn <= 20)""",
 )
 def _(t):
-    silver = cu.build_silver_notes(t.notes, NOTE_TYPES, MIN_TOKENS)
-    manifest = sp.patient_split(silver)
+    manifest = sp.patient_split(silver_keys(t))
     return cu.sample_split_subset(manifest, {"train": 150, "val": 20})

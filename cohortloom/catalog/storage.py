@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom import schemas
-from cohortloom.catalog.coverage import silver
+from cohortloom.catalog.coverage import silver, silver_keys
 from cohortloom.catalog.labelling import target
 from cohortloom.catalog.registry import MIN_TOKENS, NOTE_TYPES, query
 from cohortloom.operators import confusion as cf
@@ -167,14 +167,14 @@ def _(t):
 @query("write_splits", "SELECT hadm_id, subject_id, split FROM manifest")
 def _(t):
     stages = _stages(t, "splits")
-    st.write_splits(sp.patient_split(silver(t)), stages)
+    st.write_splits(sp.patient_split(silver_keys(t)), stages)
     return st.load_splits(t.spark, stages)
 
 
 @query("load_splits", "SELECT hadm_id, subject_id FROM manifest WHERE split = 'test'")
 def _(t):
     stages = _stages(t, "splits")
-    st.write_splits(sp.patient_split(silver(t)), stages)
+    st.write_splits(sp.patient_split(silver_keys(t)), stages)
     return st.load_splits(t.spark, stages).filter("split = 'test'").select("hadm_id", "subject_id")
 
 

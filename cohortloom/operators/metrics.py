@@ -53,29 +53,22 @@ def label_counts(scored: DataFrame) -> DataFrame:
 
 
 def cumulative_counts(counts: DataFrame, by: Sequence[str] = ("icd_code",)) -> DataFrame:
-    """Cells (``predicted``) and positives (``tp``) at or above each distinct score."""
-    sums = {"n": "predicted", "pos": "tp"}
-    return running_sums(counts, [F.col("prob").desc()], sums, by)
+    """Cells (``predicted``) and positives (``tp``) at or above each distinct score.
 
-
-def _totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    return counts.groupBy(*by).agg(F.sum("n").alias("n_all"), F.sum("pos").alias("n_pos"))
-
-
-def _with_totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Cumulative counts next to the totals of their group."""
-    running, totals = cumulative_counts(counts, by), small_side(_totals(counts, by))
-    if by:
-        return running.join(totals, list(by))
-    sums = totals.first()
-    return running.withColumns(
-        {"n_all": F.lit(sums.n_all or 0).cast("bigint"), "n_pos": F.lit(sums.n_pos or 0).cast("bigint")}
+    The totals of the group come along as ``n_all`` and ``n_pos``.
+    """
+    return running_sums(
+        counts,
+        [F.col("prob").desc()],
+        {"n": "predicted", "pos": "tp"},
+        by,
+        totals={"n": "n_all", "pos": "n_pos"},
     )
 
 
 def pr_curve(scored: DataFrame) -> DataFrame:
     """Precision and recall at every distinct score of every label."""
-    points = _with_totals(score_counts(scored), ["icd_code"])
+    points = cumulative_counts(score_counts(scored))
     return points.select(
         "icd_code",
         F.col("prob").alias("score"),
@@ -89,7 +82,7 @@ def pr_curve(scored: DataFrame) -> DataFrame:
 
 def _curve_areas(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """ROC AUC (ties count half) and step-wise average precision per group."""
-    points = _with_totals(counts, by)
+    points = cumulative_counts(counts, by)
     # a positive beats the negatives strictly below its score, and half of those level with it
     negatives = F.col("n_all") - F.col("n_pos")
     level = F.col("n") - F.col("pos")

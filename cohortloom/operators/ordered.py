@@ -21,34 +21,37 @@ def running_sums(
     order: Sequence[Column],
     sums: dict[str, str],
     by: Sequence[str] = (),
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of ``sums`` (source column to new column) along ``order``.
 
-    With ``by``, sums restart per group. Rows with equal keys must have been merged before.
+    With ``by``, sums restart per group. ``totals`` names columns for the sum of the whole group,
+    which the sums of the ranges give for free. Rows with equal keys must have been merged before.
     """
-    by = list(by)
+    by, totals = list(by), totals or {}
     keys = [F.col(name) for name in by]
     # Range bounds are sampled anew on each run, so the range number is written down with the row.
     ranged = cut_lineage(
         df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranged"
     )
-    range_totals = ranged.groupBy(*by, "_range").agg(
-        *[F.sum(source).alias(f"_{target}") for source, target in sums.items()]
-    )
+    sources = sorted({*sums, *totals})
+    range_sums = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in sources])
     # One row per range, plus one per group that shares a range with another.
-    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = range_totals.select(
+    whole = W.partitionBy(*by)
+    earlier = whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = range_sums.select(
         *by,
         "_range",
-        *[F.coalesce(F.sum(f"_{t}").over(earlier), F.lit(0)).alias(f"_{t}") for t in sums.values()],
+        *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums],
+        *[F.sum(f"_{c}").over(whole).alias(total) for c, total in totals.items()],
     )
-    # Groups are never null here, ranges neither.
-    joined = ranged.join(small_side(offsets), [*by, "_range"])
+    joined = ranged.join(small_side(offsets), [*by, "_range"])  # neither groups nor ranges are null
     inside = W.partitionBy(*by, "_range").orderBy(*order)
     inside = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     return joined.select(
         *df.columns,
-        *[(F.sum(s).over(inside) + F.col(f"_{t}")).alias(t) for s, t in sums.items()],
+        *[(F.sum(c).over(inside) + F.col(f"_before_{c}")).alias(new) for c, new in sums.items()],
+        *totals.values(),
     )
 
 
@@ -69,9 +72,9 @@ def exact_quantiles(
     named = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns]
     values = df.select(F.inline(F.array(*named))).filter(F.col("v").isNotNull())
     counts = values.groupBy("metric", "v").agg(F.count(F.lit(1)).alias("n"))
-    running = running_sums(counts, [F.col("v").asc()], {"n": "upto"}, by=["metric"])
-    totals = counts.groupBy("metric").agg(F.sum("n").alias("total"))
-    placed = running.join(small_side(totals), "metric")
+    placed = running_sums(
+        counts, [F.col("v").asc()], {"n": "upto"}, by=["metric"], totals={"n": "total"}
+    )
     first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
 
     def at(rank: Column) -> Column:

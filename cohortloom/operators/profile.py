@@ -29,7 +29,7 @@ from cohortloom.operators import coverage
 from cohortloom.operators.curate import dedup_dictionary, filter_code_version, sample_fixed_n
 from cohortloom.operators.ordered import exact_quantiles, quantile_row, ranked
 from cohortloom.operators.tables import restrict, rows_of, top
-from cohortloom.session import small_side
+from cohortloom.session import cut_lineage, small_side
 
 # What the length report shows, the token caps and the code counts it is asked for.
 LENGTH_QUANTILES = (0.01, 0.05, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
@@ -484,7 +484,9 @@ def cohort_demographics(
 ) -> DataFrame:
     """Demographics of the modelable cohort, then its admissions per patient as further rows."""
     inside = coverage.cohort_admissions(notes, admissions, diagnoses, version)
-    who = patient_demographics(restrict(patients, inside, "subject_id"))
+    inside = cut_lineage(inside.select("subject_id"), "cohort-subjects")
+    people = restrict(patients.select("subject_id", "gender", "anchor_age"), inside, "subject_id")
+    who = patient_demographics(cut_lineage(people, "cohort-people"))
     stats = admissions_per_patient_stats(admissions_per_patient(inside))
     names = stats.columns
     tall = rows_of(stats, "bucket", "value", {c: F.col(c).cast("double") for c in names})

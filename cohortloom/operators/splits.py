@@ -19,33 +19,27 @@ def _hash(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def _cut_points(subjects: DataFrame, ranks: list[int]) -> list[str]:
+def _cut_points(subjects: DataFrame, counts: list[tuple[str, int]], ranks: list[int]) -> list[str]:
     """Hashes at the given 1-based ranks of the hash order.
 
-    Counts per hash prefix (4096 at most) tell which bucket holds a rank; only those buckets, about
-    one subject in 4096 each, are ordered.
+    The counts per hash prefix tell which bucket holds a rank; only those buckets, about one subject
+    in 4096 each, are ordered.
     """
-    bucket = F.substring("h", 1, _PREFIX)
-    counts = subjects.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     wanted: dict[int, tuple[str, int]] = {}
     seen = 0
-    for row in counts.orderBy("bucket").collect():
+    for bucket, n in counts:
         for rank in ranks:
-            if seen < rank <= seen + row.n:
-                wanted[rank] = (row.bucket, rank - seen)
-        seen += row.n
-    buckets = sorted({b for b, _ in wanted.values()})
+            if seen < rank <= seen + n:
+                wanted[rank] = (bucket, rank - seen)
+        seen += n
     within = W.partitionBy("bucket").orderBy("h")
     placed = (
-        subjects.select("h", bucket.alias("bucket"))
-        .filter(F.col("bucket").isin(buckets))
+        subjects.select("h", F.substring("h", 1, _PREFIX).alias("bucket"))
+        .filter(F.col("bucket").isin(sorted({b for b, _ in wanted.values()})))
         .withColumn("place", F.row_number().over(within))
+        .filter(F.col("place").isin(sorted({p for _, p in wanted.values()})))
     )
-    picks = [(F.col("bucket") == b) & (F.col("place") == p) for b, p in wanted.values()]
-    test = picks[0]
-    for pick in picks[1:]:
-        test = test | pick
-    at = {(r.bucket, r.place): r.h for r in placed.filter(test).collect()}
+    at = {(r.bucket, r.place): r.h for r in placed.collect()}
     return [at[wanted[rank]] for rank in ranks]
 
 
@@ -66,11 +60,14 @@ def patient_split(
     if abs(total - 1.0) > 1e-6:
         raise SplitError(f"fractions sum to {total}, not 1")
     subjects = distinct_keys(notes, "subject_id").select(_hash(seed, "subject_id").alias("h"))
-    n = subjects.count()
+    bucket = F.substring("h", 1, _PREFIX).alias("bucket")
+    rows = subjects.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).collect()  # 4096 at most
+    counts = sorted((r.bucket, r.n) for r in rows)
+    n = sum(size for _, size in counts)
     n_train, n_val = int(round(train * n)), int(round(val * n))
     ends = {"train": n_train, "val": min(n_train + n_val, n)}
     ranks = sorted({r for r in ends.values() if r > 0})
-    hashes = dict(zip(ranks, _cut_points(subjects, ranks))) if ranks else {}
+    hashes = dict(zip(ranks, _cut_points(subjects, counts, ranks))) if ranks else {}
     h = _hash(seed, "subject_id")
     part = F.when(F.col("subject_id").isNull(), F.lit(None).cast("string"))
     for name in ("train", "val"):
