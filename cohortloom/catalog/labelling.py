@@ -113,5 +113,5 @@ def _(t):
 )
 def _(t):
     notes, labels = target(t)
-    matrix = lb.build_label_matrix(notes, labels.cells, labels.labels)
-    return sp.label_coverage_report(matrix, sp.patient_split(silver_keys(t)))
+    vectors = lb.label_vectors(notes, labels.cells, TOP_K)
+    return sp.label_coverage_report(vectors, sp.patient_split(silver_keys(t)), lb.label_list(labels.labels))

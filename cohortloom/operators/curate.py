@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -65,27 +66,49 @@ def sample_order(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def sample_fixed_n(df: DataFrame, n: int | None = 5000, seed: int = 0, key: str = "note_id") -> DataFrame:
+def _first_by_hash(df: DataFrame, n: int, total: int, seed: int, key: str) -> DataFrame:
+    """The ``n`` rows that come first in the seeded order, of ``total`` rows.
+
+    Only rows below a hash that about ``n`` rows are expected under are sorted, so that no more than
+    those reach the last task. If the expectation was too low, all rows are.
+    """
+    order = [sample_order(seed, key), F.col(key)]
+    expected = n + 10 * n**0.5 + 100
+    if expected < total:
+        ceiling = f"{int(16**8 * expected / total):08x}"
+        likely = df.filter(order[0] < F.lit(ceiling))
+        if likely.count() >= n:
+            df = likely
+    return top(df, order, n)
+
+
+def sample_fixed_n(
+    df: DataFrame, n: int | None = 5000, seed: int = 0, key: str = "note_id"
+) -> DataFrame:
     """``n`` rows drawn without replacement; the whole table if ``n`` is None or it has fewer.
 
     The keys are drawn from a scan of the key column alone, the rows fetched by a semi-join.
     """
     if n is None:
         return df
-    drawn = top(df.select(key), [sample_order(seed, key), F.col(key)], n)
-    return df.join(small_side(drawn), key, "left_semi")
+    keys = df.select(key)
+    total = keys.count()
+    if total <= n:
+        return df
+    return df.join(small_side(_first_by_hash(keys, n, total, seed, key)), key, "left_semi")
 
 
 def sample_split_subset(
     manifest: DataFrame, sizes: dict[str, int], seed: int = 42, key: str = "hadm_id"
 ) -> DataFrame:
     """A fixed number of rows of each named split, drawn without replacement."""
-    order = [sample_order(seed, key), F.col(key)]
-    parts = [top(manifest.filter(F.col("split") == name), order, n) for name, n in sizes.items()]
-    sampled = parts[0]
-    for part in parts[1:]:
-        sampled = sampled.unionByName(part)
-    return sampled
+    counts = manifest.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    totals = {r.split: r.n for r in counts.filter(F.col("split").isin(list(sizes))).collect()}
+    parts = [
+        _first_by_hash(manifest.filter(F.col("split") == name), n, totals.get(name, 0), seed, key)
+        for name, n in sizes.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def compute_lengths(notes: DataFrame) -> DataFrame:

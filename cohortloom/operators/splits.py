@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,11 +108,19 @@ def join_split_manifest(df: DataFrame, manifest: DataFrame, split: str | None =
     return df.join(keys, "hadm_id", "left_semi")
 
 
-def label_coverage_report(matrix: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Share of positive rows per label and part, from the dense label matrix."""
-    placed = join_split_manifest(matrix, manifest)
+def label_coverage_report(
+    vectors: DataFrame, manifest: DataFrame, labels: Sequence[str]
+) -> DataFrame:
+    """Share of positive rows per label and part, from the label vectors.
+
+    The manifest is joined once per admission; its cells unfold after the join.
+    """
+    codes = F.array(*[F.lit(c) for c in labels])
+    cells = join_split_manifest(vectors, manifest).select(
+        "split", F.inline(F.arrays_zip(codes.alias("label"), F.col("y").alias("y")))
+    )
     shares = [
-        F.avg(F.when(F.col("split") == name, F.col("present").cast("double"))).alias(f"{name}_pct")
+        F.avg(F.when(F.col("split") == name, F.col("y").cast("double"))).alias(f"{name}_pct")
         for name in SPLITS
     ]
-    return placed.groupBy(F.col("icd_code").alias("label")).agg(*shares)
+    return cells.groupBy("label").agg(*shares)

@@ -84,7 +84,7 @@ def run_train(
     write_stage(idf, stages.gold("vocabulary"))
     idf = read_stage(spark, stages.gold("vocabulary"), "train")
     size = idf.count()
-    small = fx.small_vocabulary(idf, params.features.max_features)
+    small = fx.small_vocabulary(idf)
 
     model = md.fit_ovr_logistic(fx.tfidf(train_terms, small), vectors, labels, size, params.model)
     write_stage(model, stages.gold("model"))

@@ -201,3 +201,21 @@ def test_maxpool_fills_missing_documents(spark, rows):
     scores = rows([(1, "A", 0.2), (1, "A", 0.7), (1, "B", 0.1)], "hadm_id long, icd_code string, prob double")
     got = {(r.hadm_id, r.icd_code): r.prob for r in ch.maxpool_chunks(scores, ids(spark, [1, 2]), labels).collect()}
     assert got == {(1, "A"): 0.7, (1, "B"): 0.1, (2, "A"): 0.0, (2, "B"): 0.0}
+
+
+@pytest.mark.parametrize("n", [1, 50, 399, 400, 900])
+def test_sample_is_the_head_of_the_hash_order(rows, n):
+    import hashlib
+
+    ids = [f"n{i}" for i in range(400)]
+    got = cu.sample_fixed_n(rows([(i,) for i in ids], "note_id string").repartition(5), n, seed=7)
+    order = sorted(ids, key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())
+    assert sorted(r.note_id for r in got.collect()) == sorted(order[:n])
+
+
+def test_split_subset_sizes(rows):
+    manifest = rows([(i, "train" if i % 3 else "val") for i in range(3000)], "hadm_id long, split string")
+    got = cu.sample_split_subset(manifest, {"train": 20, "val": 5, "test": 4})
+    counts = {r.split: r["count"] for r in got.groupBy("split").count().collect()}
+    assert counts == {"train": 20, "val": 5}
+    assert got.exceptAll(cu.sample_split_subset(manifest, {"train": 20, "val": 5})).count() == 0
