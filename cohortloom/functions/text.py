@@ -133,6 +133,11 @@ def redacted_context(text: Column, start: Column, length: Column, window: int =
     return squeeze_space(F.concat(F.lit("..."), before, F.lit("[REDACTED]"), after, F.lit("...")))
 
 
+def caseless(text: Column) -> Column:
+    """Lower-cased text in which the letters that match an ASCII one regardless of case are it."""
+    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
+
+
 def match_start(text: Column, pattern: str) -> Column:
     """1-based code-point position of the first match, 0 without one.
 

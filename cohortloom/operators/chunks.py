@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.text import squeeze_space
+from cohortloom.operators.tables import computed_once
 
 
 def chunk_tokens(
@@ -18,15 +19,16 @@ def chunk_tokens(
     if not 0 <= stride < window:
         raise ValueError("stride must be at least 0 and less than the window")
     step = window - stride
-    squeezed = notes.select(key, squeeze_space(F.col(text)).alias("_text")).filter("_text != ''")
-    tokens = squeezed.select(key, F.split("_text", " ").alias("_tokens"))
+    squeezed = computed_once(notes.select(key, text), **{text: squeeze_space(F.col(text))})
+    squeezed = squeezed.filter(F.col(text) != "")
+    tokens = squeezed.select(key, F.split(text, " ").alias("_tokens"))
     last = F.greatest(F.ceil((F.size("_tokens") - window) / F.lit(float(step))), F.lit(0))
-    starts = F.sequence(F.lit(0), last.cast("int"))
-    numbered = tokens.select(key, "_tokens", F.explode_outer(starts).alias("chunk_idx"))
-    first = F.col("chunk_idx") * step + 1
-    return numbered.select(
-        key, "chunk_idx", F.slice("_tokens", first, F.lit(window)).alias("tokens")
+    # the windows are cut inside the row: unfolding starts first would copy all tokens per window
+    windows = F.transform(
+        F.sequence(F.lit(0), last.cast("int")),
+        lambda i: F.slice(F.col("_tokens"), i * step + 1, F.lit(window)),
     )
+    return tokens.select(key, F.posexplode_outer(windows).alias("chunk_idx", "tokens"))
 
 
 def chunk_stats(chunks: DataFrame, n_docs: DataFrame) -> DataFrame:

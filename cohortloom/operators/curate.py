@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortloom.errors import LabelError
 from cohortloom.functions.codes import normalize_code
 from cohortloom.functions.text import char_length, clean_text, clean_token_length, token_length
-from cohortloom.operators.tables import top
+from cohortloom.operators.tables import computed_once, top
 from cohortloom.session import small_side
 
 SILVER_COLUMNS = ("note_id", "subject_id", "hadm_id", "text", "n_tokens")
@@ -41,7 +41,7 @@ def build_silver_notes(
 ) -> DataFrame:
     """Type filter, one note per admission, cleaning, length filter."""
     kept = dedup_latest_note(filter_note_types(notes, note_types))
-    cleaned = kept.withColumn("text", clean_text(F.col("text")))
+    cleaned = computed_once(kept, text=clean_text(F.col("text")))
     counted = cleaned.withColumn("n_tokens", clean_token_length(F.col("text")))
     return filter_min_tokens(counted, min_tokens).select(*SILVER_COLUMNS)
 

@@ -189,7 +189,8 @@ def pair_counts(rows: DataFrame, on_a: Column, on_b: Column, names: list[str]) -
     Pairs whose ``a`` occurs in some row are listed, whatever their count.
     """
     vector = array_to_vector(_dense(on_b, len(names)).cast("array<double>"))
-    unfolded = rows.select(F.explode(on_a).alias("a"), vector.alias("b"))
+    unfolded = rows.select(F.explode_outer(on_a).alias("a"), vector.alias("b"))
+    unfolded = unfolded.filter(F.col("a").isNotNull())
     sums = unfolded.groupBy("a").agg(vector_to_array(Summarizer.sum(F.col("b"))).alias("sums"))
     codes = F.array(*[F.lit(c) for c in names])
     cells = sums.select(F.get(codes, F.col("a")).alias("a"), F.posexplode("sums").alias("j", "s"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,6 +108,19 @@ AUDIT_GROUPS = (
 # ---------------------------------------------------------------------------------------------
 
 
+def required_literal(pattern: str) -> str:
+    """The longest plain run of characters that every match of a rule contains, in lower case.
+
+    Empty if there is none of at least three characters. Groups, classes, escapes, counts and
+    optional characters do not belong to a run.
+    """
+    gap = "\0"
+    plain = re.sub(r"\\.|\(\?:[^)]*\)|\[(?:\\.|[^\]\\])*\]|\{[^}]*\}", gap, pattern)
+    plain = re.sub(r".[?*]", gap, plain)
+    runs = re.findall(r"[A-Za-z_-]{3,}", plain)
+    return max(runs, key=len, default="").lower()
+
+
 @dataclass(frozen=True)
 class Rule:
     rule_id: int

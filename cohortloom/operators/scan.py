@@ -10,8 +10,15 @@ from collections.abc import Collection, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.text import NOT_SPACE, match_start, redacted_context
-from cohortloom.operators.rules import AUDIT_GROUPS, CLINICAL_WORDS, Rule, phi_rules
+from cohortloom.functions.text import NOT_SPACE, caseless, match_start, redacted_context
+from cohortloom.operators.rules import (
+    AUDIT_GROUPS,
+    CLINICAL_WORDS,
+    Rule,
+    phi_rules,
+    required_literal,
+)
+from cohortloom.operators.tables import computed_once
 
 # Fixed values of the prose test.
 MIN_PROSE_CHARS = 1500
@@ -21,13 +28,20 @@ MAX_PADDING_PER_1000 = 2
 MIN_SENTENCE_BREAKS = 4
 
 
+def _fires(text: Column, pattern: str) -> Column:
+    """Whether a pattern matches; most texts are ruled out by a plain search in ``_low``."""
+    literal = required_literal(pattern)
+    match = text.rlike("(?iU)" + pattern)
+    return F.contains(F.col("_low"), F.lit(literal)) & match if literal else match
+
+
 def _finding(text: Column, rule: Rule, window: int) -> Column:
     """Null without a match; otherwise the rule, the place and the redacted surroundings."""
     pattern = rule.java_pattern
     start = match_start(text, pattern)
     length = F.length(F.regexp_substr(text, F.lit(pattern)))
     return F.when(
-        text.rlike(pattern),
+        _fires(text, rule.pattern),
         F.struct(
             F.lit(rule.rule_id).alias("rule_id"),
             F.lit(rule.category).alias("category"),
@@ -59,7 +73,8 @@ def phi_scan(
     text = F.col("text")
     hits = F.filter(F.array(*[_finding(text, r, window) for r in tried]), lambda f: f.isNotNull())
     # the outer form keeps the optimizer from evaluating all rules a second time to test for none
-    found = docs.select(key, hits.alias("_hits")).select(key, F.inline_outer("_hits"))
+    low = computed_once(docs.select(key, "text"), _low=caseless(text))
+    found = low.select(key, hits.alias("_hits")).select(key, F.inline_outer("_hits"))
     return found.filter(F.col("rule_id").isNotNull())
 
 
@@ -138,7 +153,7 @@ def audit_first_finding(
             java = "(?iU)" + pattern
             tries.append(
                 F.when(
-                    ~skipped & text.rlike(java),
+                    ~skipped & _fires(text, pattern),
                     F.struct(
                         F.lit(category).alias("category"),
                         F.lit(pattern).alias("pattern"),
@@ -148,7 +163,8 @@ def audit_first_finding(
                 )
             )
     looked_at = docs.filter(~F.col(key).isin(list(excluded))) if excluded else docs
-    first = looked_at.select(key, "text", F.coalesce(*tries).alias("f")).filter("f IS NOT NULL")
+    low = computed_once(looked_at.select(key, "text"), _low=caseless(text))
+    first = computed_once(low, f=F.coalesce(*tries)).filter("f IS NOT NULL")
     start, length = F.col("f.start"), F.col("f.length")
     before = F.substring(text, F.lit(1), start - 1)
     begin = F.greatest(start - window, F.lit(1))

@@ -17,6 +17,7 @@ TEXTS = [
     (5, "read /data/physionet/x then pd.set_option('display.max_colwidth', None)"),
     (6, "éDOB is no word start, dobro is"),
     (7, None),
+    (8, "Di\u017fcharge Diagnos\u0131s: P\u0130NK, \u212anown; ALLERG\u0130E: x; Diſcharge Date :"),
 ]
 
 
@@ -34,6 +35,16 @@ def brute(location, kind):
     return out
 
 
+def test_required_literals():
+    of = {r.pattern: rl.required_literal(r.pattern) for r in rl.phi_rules()}
+    assert of[r"Allergies?\s*:"] == "allergie"
+    assert of[r"\[\*\*Known\s+(?:first|last)name[^\]]*\*\*\]"] == "known"
+    assert of[r"\b\d+\s*(?:yo|y\.?o\.?|year[- ]old)\b"] == ""
+    assert of[r"mimic-iv[/\\]hosp[/\\]"] == "mimic-iv"
+    assert of[r"_{4,}"] == ""
+    assert all(of[p] in p.lower() for p in of)
+
+
 def test_rule_counts():
     rules = rl.phi_rules()
     by = {c: sum(r.category == c for r in rules) for c in {r.category for r in rules}}
