@@ -96,6 +96,19 @@ def _(t):
     return sp.split_disjoint_check(sp.patient_split(silver_keys(t)))
 
 
+@query(
+    "split_disjoint_check_leaks",
+    """SELECT subject_id, count(*) AS n_rows FROM (SELECT subject_id,
+         CASE WHEN md5('42:' || hadm_id) < '8' THEN 'train' ELSE 'test' END AS split FROM silver)
+       GROUP BY subject_id HAVING count(DISTINCT split) > 1""",
+)
+def _(t):
+    # a manifest that was cut by admission instead of by subject does leak
+    by_admission = F.when(sp._hash(42, "hadm_id") < "8", "train").otherwise("test")
+    leaky = silver(t).select("hadm_id", "subject_id", by_admission.alias("split"))
+    return sp.split_disjoint_check(leaky)
+
+
 @query(
     "split_counts",
     """SELECT split, count(DISTINCT subject_id) AS n_patients, count(*) AS n_admissions

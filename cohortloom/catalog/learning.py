@@ -56,7 +56,12 @@ def _(t):
     return long.withColumn("weight", F.round("weight", 9))
 
 
-@query("assemble_sparse_vectors")
+@query(
+    "assemble_sparse_vectors",
+    """SELECT note_id, (SELECT CAST(count(*) AS INT) FROM vocab) AS width,
+       CAST(count(term_idx) AS INT) AS n_terms
+       FROM notes LEFT JOIN weights USING (note_id) GROUP BY note_id""",
+)
 def _(t):
     from pyspark.ml.functions import vector_to_array
 
