@@ -72,7 +72,7 @@ def _(t):
     rows = fx.tfidf(terms, fx.small_vocabulary(idf), key="note_id")
     vectors = fx.assemble_sparse_vectors(rows, idf.count(), key="note_id")
     dense = vector_to_array("features")
-    nonzero = F.filter(dense, lambda x: x != 0.0)
+    nonzero = F.array_remove(dense, 0.0)
     return vectors.select("note_id", F.size(dense).alias("width"), F.size(nonzero).alias("n_terms"))
 
 

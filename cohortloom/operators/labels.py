@@ -151,10 +151,13 @@ def alignment(cohort: DataFrame, label_rows: DataFrame) -> DataFrame:
     )
 
 
-def check_alignment(cohort: DataFrame, label_rows: DataFrame) -> None:
-    """Fail unless both tables cover the same admissions."""
+def check_alignment(cohort: DataFrame, label_rows: DataFrame, dense: bool = True) -> None:
+    """Fail unless both tables cover the same admissions.
+
+    Positive cells alone (``dense=False``) may lack admissions without any label, but not have others.
+    """
     off = alignment(cohort, label_rows).first()
-    if off.notes_without_labels or off.labels_without_notes:
+    if off.labels_without_notes or (dense and off.notes_without_labels):
         raise StageError(
             f"{off.notes_without_labels} notes without labels, {off.labels_without_notes} labels "
             "without notes: rebuild the gold stage"

@@ -284,15 +284,16 @@ def evaluate_multilabel(
     if found != n_labels:
         raise MetricError(f"{found} thresholds for {n_labels} labels")
     scored = long_scores(wide)
-    f1 = _as_rows(f1_scores(confusion_counts(scored, small)))
-    curves = _as_rows(ranking_metrics(scored))
+    f1 = as_rows(f1_scores(confusion_counts(scored, small)))
+    curves = as_rows(ranking_metrics(scored))
     at_k = precision_at_k(wide, k_list, n_labels).select(
         F.concat(F.lit("p_at_"), F.col("k")).alias("metric"), F.col("precision_at_k").alias("value")
     )
     return reduce(DataFrame.unionByName, [f1, curves, at_k]).filter("value IS NOT NULL")
 
 
-def _as_rows(one_row: DataFrame) -> DataFrame:
+def as_rows(one_row: DataFrame) -> DataFrame:
+    """The columns of a one-row table as ``(metric, value)`` rows."""
     cells = [F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in one_row.columns]
     return one_row.select(F.inline(F.array(*cells)))
 

@@ -71,7 +71,8 @@ def run_train(
     manifest = st.load_splits(spark, stages)
     n_labels = labels.count()
     vectors = lb.label_vectors(cohort, cells, n_labels)
-    lb.check_alignment(cohort, vectors)
+    lb.check_alignment(cohort, cells, dense=False)
+    lb.check_alignment(cohort, manifest)
     low, high = params.features.ngram_range
 
     # Terms are counted once for all parts; the split is a folder of the features.

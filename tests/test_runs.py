@@ -156,3 +156,13 @@ def test_constant_labels(spark):
 def test_parameter_ranges(bad):
     with pytest.raises(ValueError):
         bad()
+
+
+def test_training_refuses_foreign_labels(spark, run):
+    from cohortloom.operators import labels as lb
+
+    stages, _ = run
+    cohort, cells, _ = st.load_gold(spark, stages)
+    lb.check_alignment(cohort, cells, dense=False)
+    with pytest.raises(StageError, match="rebuild"):
+        lb.check_alignment(cohort.filter("hadm_id > 1010"), cells, dense=False)
