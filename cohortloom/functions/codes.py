@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cohortloom.functions.text import SPACE
+from cohortloom.functions.text import SPACE_CHARS
 
 # Fixed values shown in reports for a code without a title.
 NO_TITLE = "(no description)"
@@ -12,8 +12,7 @@ NOT_IN_DICTIONARY = "(not in d_icd_diagnoses)"
 
 def normalize_code(code: Column) -> Column:
     """Upper-cased code without surrounding white space."""
-    stripped = F.regexp_replace(code, f"^{SPACE}|{SPACE}$", "")
-    return F.upper(stripped)
+    return F.upper(F.btrim(code, F.lit(SPACE_CHARS)))
 
 
 def format_code(code: Column) -> Column:

@@ -15,6 +15,7 @@ REDACTION_TEXT = " [REDACTED] "
 
 # Unicode white space: Java's own \s class misses the separators and the control characters.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+SPACE_CHARS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 NOT_SPACE = r"[^\s\x1c-\x1f\x85\p{Z}]+"
 
 # A word is a run of at least two letters, digits or underscores.

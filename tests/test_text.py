@@ -73,6 +73,8 @@ def test_codes(spark):
     raw = ["E785", "I4891", "Z20822", "I10", "F32", ""]
     assert one(spark, raw, cd.format_code) == ["E78.5", "I48.91", "Z20.822", "I10", "F32", ""]
     assert one(spark, [" e785 ", "\ti10\n"], cd.normalize_code) == ["E785", "I10"]
+    padded = [f"{c} x{c}1{c}{c}" for c in tx.SPACE_CHARS]
+    assert one(spark, padded, cd.normalize_code) == [p.strip().upper() for p in padded]
 
 
 def test_numbers(spark):
