@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import decontaminate, packing, quality
+from cohortloom.llm import bitplanes, decontaminate, jaccard, packing, pii, quality
 from cohortloom.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,9 @@ QUERIES = {
         table(s, d, "documents"), table(s, d, "benchmark")
     ),
     "op3_pack": lambda s, d: packing.pieces(table(s, d, "documents")).drop("ids"),
+    "op4_token_planes": lambda s, d: bitplanes.round_trip(table(s, d, "documents")),
+    "op7_jaccard": lambda s, d: jaccard.linked(table(s, d, "documents"), size=3, percent=90),
+    "op9_personal_data": lambda s, d: pii.scan(table(s, d, "documents")),
     "op10_quality": lambda s, d: quality.ratings(table(s, d, "documents"), table(s, d, "labels")),
 }
 ORACLES: dict[str, str] = {}
