@@ -30,7 +30,7 @@ def words(text: str) -> Column:
 
 def _winnow(run: int) -> Column:
     """Positions (from 0) and values of the smallest hash of each run; the leftmost of equal ones."""
-    last = f"size({hashes}) - {run}"
+    last = f"size(places) - {run}"
     return F.expr(
         f"array_distinct(transform(sequence(0, greatest({last}, 0)), i -> "
         f"array_min(slice(places, i + 1, {run}))))"
