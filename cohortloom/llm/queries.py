@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import bitplanes, decontaminate, jaccard, packing, pii, quality
+from cohortloom.llm import bitplanes, decontaminate, hnsw, jaccard, licenses, packing, pii, quality, repeats
 from cohortloom.llm.common import table
 
 QUERIES = {
     "op1_decontaminate": lambda s, d: decontaminate.contamination(
         table(s, d, "documents"), table(s, d, "benchmark")
     ),
+    "op2_hnsw": lambda s, d: hnsw.nearest(table(s, d, "embeddings")),
     "op3_pack": lambda s, d: packing.pieces(table(s, d, "documents")).drop("ids"),
     "op4_token_planes": lambda s, d: bitplanes.round_trip(table(s, d, "documents")),
+    "op5_licenses": lambda s, d: licenses.notices(table(s, d, "documents")),
+    "op6_repeats": lambda s, d: repeats.without_repeats(table(s, d, "documents")),
     "op7_jaccard": lambda s, d: jaccard.linked(table(s, d, "documents"), size=3, percent=90),
     "op9_personal_data": lambda s, d: pii.scan(table(s, d, "documents")),
     "op10_quality": lambda s, d: quality.ratings(table(s, d, "documents"), table(s, d, "labels")),
