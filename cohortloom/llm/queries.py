@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import bitplanes, decontaminate, hnsw, jaccard, licenses, packing, pii, quality, repeats
+from cohortloom.llm import bitplanes, decontaminate, hnsw, jaccard, licenses, packing, pii, quality, repeats, trie_lm
 from cohortloom.llm.common import table
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op5_licenses": lambda s, d: licenses.notices(table(s, d, "documents")),
     "op6_repeats": lambda s, d: repeats.without_repeats(table(s, d, "documents")),
     "op7_jaccard": lambda s, d: jaccard.linked(table(s, d, "documents"), size=3, percent=90),
+    "op8_trie_lm": lambda s, d: trie_lm.scores(table(s, d, "documents")),
     "op9_personal_data": lambda s, d: pii.scan(table(s, d, "documents")),
     "op10_quality": lambda s, d: quality.ratings(table(s, d, "documents"), table(s, d, "labels")),
 }
