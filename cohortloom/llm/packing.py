@@ -63,15 +63,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     # dissolve the shortest packs into the room of the fullest
     groups.sort(key=lambda g: (-g["fill"], g["seq"]))
     emptied: list[tuple[int, int]] = []
+    for group in groups:
+        group["used"] = 0
     spare: deque[list[int]] = deque()  # rooms being filled: first sequence, count, filled
     lo, hi = 0, len(groups) - 1
     while lo <= hi:
         source = groups[hi]
         room = sum(n * (capacity - f) for _, n, f in spare)
-        room += sum(g["n"] * (capacity - g["fill"]) for g in groups[lo:hi])
-        n = min(source["n"], room // source["fill"])
-        if n < source["n"]:  # of packs alike some can go into the others
-            n = (room + source["n"] * (capacity - source["fill"])) // capacity
+        room += sum((g["n"] - g["used"]) * (capacity - g["fill"]) for g in groups[lo:hi])
+        free = source["n"] - source["used"]
+        n = min(free, room // source["fill"])
+        if n < free:  # of packs alike some can go into the others
+            n = (room + free * (capacity - source["fill"])) // capacity
         if n <= 0:
             break
         base = source["n"] - n
@@ -79,11 +82,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
         while jobs:
             first, last, done = jobs.pop()
             while not spare:
-                target, count = groups[lo], base if lo == hi else groups[lo]["n"]
-                spare.append([target["seq"], count, target["fill"]])
-                lo += 1
-                if spare[0][2] >= capacity:
-                    spare.popleft()
+                target, end = groups[lo], base if lo == hi else groups[lo]["n"]
+                count = min(end - target["used"], last - first)  # the others may be dissolved later
+                if count <= 0 or target["fill"] >= capacity:
+                    lo += 1
+                    continue
+                spare.append([target["seq"] + target["used"], count, target["fill"]])
+                target["used"] += count
             seq, count, fill = spare.popleft()
             take = min(count, last - first)
             size = min(capacity - fill, source["fill"] - done)
@@ -102,7 +107,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
                 jobs.append((first, first + take, done + size))
         emptied.append((source["seq"] + base, n))
         source["n"] = base
-        if base:
+        if n < free:
             break
         hi -= 1
     for group in groups:
