@@ -133,6 +133,39 @@ def test_licenses():
     assert licenses.matches(None, index) == licenses.matches("the version of this work", index) == []
 
 
+def test_whole_edited_and_partial_licenses():
+    index = licenses.Index(licenses.TEMPLATES)
+    draw = random.Random(1)
+    around = " ".join(draw.choice(BASE) for _ in range(300))
+    named = lambda text: {m[0]: m for m in licenses.matches(text, index)}
+    for name in ("mit", "isc", "bsd-3-clause", "apache-2.0", "lgpl-2.1", "gpl-3.0", "mpl-2.0", "cc-by-sa-3.0"):
+        whole = licenses.TEMPLATES[name + "-text"].strip()
+        words = len(index.words[name + "-text"])
+        text = f"{around} {whole} {around} {whole}"
+        spans = [m[1:] for m in licenses.matches(text, index) if m[0] == name + "-text"]
+        assert [(m[2], m[3]) for m in spans] == [(words, 1.0)] * 2
+        assert all(licenses._cut(text[a:b]) == index.words[name + "-text"] for a, b, _, _ in spans)
+        cells = whole.split()
+        edited = " ".join(c if i % 9 else "edited" for i, c in enumerate(cells))
+        assert 0.75 < named(f"{around} {edited} {around}")[name + "-text"][4] < 0.95
+        half = named(f"{around} {' '.join(cells[: len(cells) // 2])} {around}")[name + "-text"]
+        assert 0.3 < half[4] < 0.7 and abs(half[1] - len(around) - 1) < 12
+
+
+def test_license_headers_kinds_and_tags():
+    index = licenses.Index(licenses.TEMPLATES)
+    names = lambda text: [m[0] for m in licenses.matches(text, index)]
+    for name, header in licenses.HEADERS.items():
+        assert name in names(f"/* {header} */ int main")
+    assert names("Licensed under CC BY-SA 4.0.") == ["cc-by-sa-4.0"]
+    assert names("This work is licensed under the GNU General Public License, version 2.") == ["gpl-2.0"]
+    assert names("This work is licensed under the GNU Lesser General Public License, version 3.") == ["lgpl-3.0"]
+    text = "// SPDX-License-Identifier: (MIT OR Apache-2.0)\nint x;"
+    assert [(m[0], text[m[1] : m[2]]) for m in licenses.matches(text, index)] == [
+        ("spdx:Apache-2.0", text[3:47]), ("spdx:MIT", text[3:47])
+    ]
+
+
 def test_repeats(docs):
     got, texts = by_id(repeats.without_repeats(docs)), text_of(docs)
     first = {}
