@@ -44,7 +44,7 @@ class Tagger:
         self.p["ob"] = np.zeros(tags)
         self.p["t"] = np.zeros((tags, tags))
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str):
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, kept: bool = True):
         n, length = x.shape
         h, c, keep = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), []
         out = np.zeros((n, length, HIDDEN))
@@ -56,19 +56,20 @@ class Tagger:
             c2 = m * (f * c + i * g)
             tc = np.tanh(c2)
             h2 = m * o * tc
-            keep.append((t, i, f, o, g, c, tc, h, m))
+            if kept:
+                keep.append((t, i, f, o, g, c, tc, h, m))
             h, c = h2, c2
             out[:, t] = h2
         return out, keep
 
-    def emissions(self, x: np.ndarray, mask: np.ndarray):
-        f, kf = self._run(x, mask, "f")
-        b, kb = self._run(x, mask, "b")
+    def emissions(self, x: np.ndarray, mask: np.ndarray, kept: bool = True):
+        f, kf = self._run(x, mask, "f", kept)
+        b, kb = self._run(x, mask, "b", kept)
         both = np.concatenate([f, b], axis=2)
         return both @ self.p["o"] + self.p["ob"], both, kf, kb
 
     def _back(self, x, keep, dout, d, grad) -> None:
-        dh, dc = np.zeros((len(x), HIDDEN)), np.zeros((len(x), HIDDEN))
+        dh, dc, each = np.zeros((len(x), HIDDEN)), np.zeros((len(x), HIDDEN)), np.eye(CLASSES)
         for t, i, f, o, g, c, tc, h, m in reversed(keep):
             dh = (dh + dout[:, t]) * m
             do = dh * tc
@@ -76,7 +77,7 @@ class Tagger:
             dz = np.concatenate(
                 [dc * g * i * (1 - i), dc * c * f * (1 - f), do * o * (1 - o), dc * i * (1 - g**2)], axis=1
             )
-            np.add.at(grad["x" + d], x[:, t], dz)
+            grad["x" + d] += each[x[:, t]].T @ dz
             grad["h" + d] += h.T @ dz
             grad["c" + d] += dz.sum(0)
             dh = dz @ self.p["h" + d].T
@@ -139,7 +140,7 @@ class Tagger:
 
     def decode(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Best tag sequence per window; tag 0 on padding."""
-        e = self.emissions(x, mask)[0]
+        e = self.emissions(x, mask, kept=False)[0]
         n, length = x.shape
         best, back = e[:, 0], np.zeros((n, length, self.tags), np.int64)
         for t in range(1, length):

@@ -226,6 +226,49 @@ def test_patterns_and_masking(rows):
     assert "a.b@c.org" not in masked[0]["text"] and masked[99]["text"] == "clean words" and masked[98]["text"] is None
 
 
+@pytest.fixture(scope="module")
+def tagger():
+    return pii._model(pii.fitted(pii.made(1_200, 11)))
+
+
+def tagged(tagger, values):
+    bases = [pii.base_spans(t) for t in values]
+    return [pii.all_spans(t, b, a) for t, b, a in zip(values, bases, pii.decoded(tagger, values, bases))]
+
+
+def test_held_out_recall(tagger):
+    held = pii.made(1_500, 99)
+    hit, every, wrong = Counter(), Counter(), 0
+    for (text, want), got in zip(held, tagged(tagger, [t for t, _ in held])):
+        for span in want:
+            every[span[2]] += 1
+            hit[span[2]] += any(a <= span[0] and span[1] <= b for a, b, _ in got)
+        wrong += not want and bool(got)
+    assert all(hit[k] >= 0.75 * every[k] for k in range(4)), (hit, every)
+    assert wrong <= 0.1 * sum(not want for _, want in held)
+
+
+def test_obfuscated_spans_are_whole(tagger):
+    far = "word " * 400
+    mails = ["some.long.first.and.last.name.of.a.person @ host.org", "maria at example dot org", "maria (at) example.org"]
+    for mail in mails:
+        text = f"{far}please write to {mail}, thanks. {far}"
+        at = text.index(mail)
+        assert tagged(tagger, [text])[0] == [(at, at + len(mail), 0)]
+    assert tagged(tagger, [far + "met @ noon. It rained at ten."]) == [[]]
+
+
+def test_regions_hold_every_plausible_span():
+    draw, text = random.Random(6), []
+    for sentence, _ in pii.made(400, 5):
+        text.append(sentence + " " + "filler words " * draw.randrange(0, 30))
+    text = " ".join(text) + " 555 1234" * 500
+    pieces = pii.regions(text, [])
+    forms = [(m.start(), m.end()) for m in pii._MAIL.finditer(text) if m.end() - m.start() <= pii.MAX_SPAN]
+    forms += [m.span() for m in pii._PHONE_FORM.finditer(text) if pii._plausible(m[0], 3)]
+    assert len(forms) > 100 and all(any(a <= x and y <= b for a, b in pieces) for x, y in forms)
+
+
 def test_quality(rows):
     draw = random.Random(2)
     make = lambda extra: " ".join(draw.choice(BASE) for _ in range(30)) + extra
