@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import bitplanes, decontaminate, hnsw, jaccard, licenses, packing, pii, quality, repeats, trie_lm
+from cohortloom.llm import (
+    bitplanes,
+    decontaminate,
+    hnsw,
+    infill,
+    jaccard,
+    licenses,
+    packing,
+    pii,
+    quality,
+    repeats,
+    trie_lm,
+)
 from cohortloom.llm.common import table
 
 QUERIES = {
@@ -18,5 +30,8 @@ QUERIES = {
     "op8_trie_lm": lambda s, d: trie_lm.scores(table(s, d, "documents")),
     "op9_personal_data": lambda s, d: pii.scan(table(s, d, "documents")),
     "op10_quality": lambda s, d: quality.ratings(table(s, d, "documents"), table(s, d, "labels")),
+    "op12_infill": lambda s, d: infill.digests(table(s, d, "documents")),
+}
+ORACLES: dict[str, str] = {
+    "op12_infill": infill.SQL,
 }
-ORACLES: dict[str, str] = {}
