@@ -13,6 +13,7 @@ from cohortloom.llm import (
     pii,
     quality,
     repeats,
+    spelling,
     trie_lm,
 )
 from cohortloom.llm.common import table
@@ -31,6 +32,7 @@ QUERIES = {
     "op9_personal_data": lambda s, d: pii.scan(table(s, d, "documents")),
     "op10_quality": lambda s, d: quality.ratings(table(s, d, "documents"), table(s, d, "labels")),
     "op12_infill": lambda s, d: infill.digests(table(s, d, "documents")),
+    "op13_spelling": lambda s, d: spelling.variants(table(s, d, "documents")),
 }
 ORACLES: dict[str, str] = {
     "op12_infill": infill.SQL,
