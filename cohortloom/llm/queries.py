@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cohortloom.llm import (
+    archives,
     bitplanes,
     decontaminate,
     hnsw,
@@ -31,9 +32,11 @@ QUERIES = {
     "op8_trie_lm": lambda s, d: trie_lm.scores(table(s, d, "documents")),
     "op9_personal_data": lambda s, d: pii.scan(table(s, d, "documents")),
     "op10_quality": lambda s, d: quality.ratings(table(s, d, "documents"), table(s, d, "labels")),
+    "op11_zip_warc": lambda s, d: archives.round_trip(table(s, d, "pages")),
     "op12_infill": lambda s, d: infill.digests(table(s, d, "documents")),
     "op13_spelling": lambda s, d: spelling.variants(table(s, d, "documents")),
 }
 ORACLES: dict[str, str] = {
+    "op11_zip_warc": archives.SQL,
     "op12_infill": infill.SQL,
 }
