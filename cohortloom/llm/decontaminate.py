@@ -12,116 +12,121 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import LOWER, UPPER, once, texts, union
-from cohortloom.session import cut_lineage, small_side
+from cohortloom.llm.common import LOWER, UPPER, once, union
+from cohortloom.session import cut_lineage
 
 WINDOW = 10
 K = 5
-# Fixed value: the characters of a word.
-WORD = r"[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
+# The characters of a word and, in lower-cased text, of what stands between words.
+CASED_WORD = r"[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"
 NOT_WORD = r"[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
 
 
+# Bits of the place that a packed hash carries; a window is far shorter than what they count.
+_PLACE_BITS = 24
+
+
 def words(text: str) -> Column:
     """Words of a text; none for null."""
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
+    given = F.coalesce(F.col(text), F.lit(""))
+    # both change A to Z only; the second is slow, and needed where other letters have a lower case too
+    ascii_only = F.octet_length(given) == F.length(given)
+    lowered = F.when(ascii_only, F.lower(given)).otherwise(F.translate(given, UPPER, LOWER))
     return F.filter(F.split(lowered, NOT_WORD), lambda w: w != "")
 
 
-def _winnow(run: int) -> Column:
-    """Positions (from 0) and values of the smallest hash of each run; the leftmost of equal ones."""
-    last = f"size(places) - {run}"
-    return F.expr(
-        f"array_distinct(transform(sequence(0, greatest({last}, 0)), i -> "
-        f"array_min(slice(places, i + 1, {run}))))"
-    )
+def _grams(k: int) -> str:
+    """Hashes of all ``k`` consecutive word hashes ``v``."""
+    mixed = ", ".join(f"v[i + {j}]" if j else "v[i]" for j in range(k))
+    return f"transform(sequence(0, size(v) - {k}), i -> xxhash64({mixed}))"
+
+
+def _winnow(run: int) -> tuple[str, str]:
+    """Places of the smallest hash ``h`` of each run; the leftmost of equal ones. Each place once.
+
+    Second, the array ``m`` that this reads: a hash with the low bits of its place in one number, so that the
+    least number of a run tells the place.
+    """
+    low = (1 << _PLACE_BITS) - 1
+    packed = f"transform(h, (x, i) -> shiftleft(x, {_PLACE_BITS}) | (i & {low}))"
+    return (
+        f"array_distinct(transform(sequence(0, greatest(size(h) - {run}, 0)), i -> "
+        f"i + cast((array_min(slice(m, i + 1, {run})) - i) & {low} AS int)))"
+    ), packed
 
 
 def fingerprints(df: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """Rows (key, h, p): kept hashes of a table (key, w) of word arrays with ``window`` words or more."""
-    run = window - k + 1
-    hashed = once(
-        df.filter(F.size("w") >= window),
-        places=F.expr(
-            f"transform(sequence(0, size(w) - {k}), i -> "
-            f"named_struct('h', xxhash64(slice(w, i + 1, {k})), 'p', i))"
-        ),
-    )
-    kept = hashed.select(*df.columns, F.explode(_winnow(run)).alias("f"))
-    return kept.select(*df.columns, F.col("f.h").alias("h"), F.col("f.p").alias("p"))
+    places, packed = _winnow(window - k + 1)
+    others = [c for c in df.columns if c != "w"]
+    cut = once(df.filter(F.size("w") >= window), v=F.expr("transform(w, x -> xxhash64(x))"))
+    cut = once(cut.select(*others, "v"), h=F.expr(_grams(k)))
+    cut = once(cut.select(*others, "h"), m=F.expr(packed))
+    kept = cut.select(*others, "h", F.explode(F.expr(places)).alias("p"))
+    return kept.select(*others, F.expr("h[p]").alias("h"), "p")
 
 
 def _windows(df: DataFrame, size: int) -> DataFrame:
-    """All windows of ``size`` words (item_id, win)."""
-    return df.select(
-        "item_id",
-        F.explode(
-            F.expr(
-                f"transform(sequence(1, size(w) - {size - 1}), i -> array_join(slice(w, i, {size}), ' '))"
-            )
-        ).alias("win"),
+    """All windows of ``size`` words (item_id, n, win)."""
+    cell = f"transform(sequence(1, size(w) - {size - 1}), i -> array_join(slice(w, i, {size}), ' '))"
+    return df.select("item_id", F.lit(size).alias("n"), F.explode(F.expr(cell)).alias("win"))
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What rows of equal id and text share: 96 bits, never null."""
+    text = F.col(text_col)
+    return F.struct(
+        F.xxhash64(F.col(id_col), text).alias("a"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("b")
     )
 
 
-def hits(
-    docs: DataFrame, bench: DataFrame, window: int = WINDOW, k: int = K, small_rows: int = 200_000
-) -> tuple[DataFrame, DataFrame]:
-    """Cut documents (key, doc_id, n_words) and hit windows (key, s, n, wid) with window ids -> items.
+def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, k: int = K) -> tuple[DataFrame, DataFrame]:
+    """Windows of documents (key, text) that a benchmark (item_id, text) holds.
 
-    Returns (hit windows, items per window).
+    Returns (key, s, n, win): start, words and text of each hit window, and (item_id, n, win): the windows of
+    items. Fingerprints meet as numbers; words are cut a second time in documents with a hit only. All joins
+    are Spark's to choose: the benchmark sides are written tables, broadcast if they are small enough.
     """
-    items = cut_lineage(
-        texts(bench, "item_id").select(F.col("doc_id").alias("item_id"), words("text").alias("w")),
-        "bench-words",
-    )
+    items = cut_lineage(bench.select("item_id", words("text").alias("w")), "bench-words")
     short = [
         r[0]
         for r in items.select(F.size("w").alias("n")).filter(f"n > 0 and n < {window}").distinct().collect()
     ]  # at most window - 1 values
-    sized = [(window, items.filter(F.size("w") >= window))]
-    sized += [(n, items.filter(F.size("w") == n)) for n in sorted(short)]
-    owners = cut_lineage(
-        union([_windows(part, n).distinct() for n, part in sized]), "bench-windows"
-    )  # (item_id, win)
-    wins = small_side(owners.select("win").distinct(), small_rows)
-
-    cut = once(
-        docs.select("key", "text"),
-        w=words("text"),
-    ).select("key", "w")
-    marks = small_side(
-        fingerprints(items, window, k).select("h").distinct(), small_rows
+    sized = [_windows(items.filter(F.size("w") >= window), window)]
+    sized += [_windows(items.filter(F.size("w") == n), n) for n in sorted(short)]
+    owners = cut_lineage(union(sized).distinct(), "bench-windows")
+    wins = cut_lineage(owners.select("n", "win").distinct(), "bench-texts")
+
+    # (n, h): the kept hashes of windows, and the hash of each short item as a whole
+    marked = [fingerprints(items, window, k).select(F.lit(window).alias("n"), "h")]
+    whole = "aggregate(transform(w, x -> xxhash64(x)), 0L, (a, x) -> xxhash64(a, x))"
+    marked += [
+        items.filter(F.size("w") == n).select(F.lit(n).alias("n"), F.expr(whole).alias("h")) for n in sorted(short)
+    ]
+    marks = cut_lineage(union(marked).distinct(), "bench-marks")
+    cut = once(docs.select("key", "text"), w=words("text")).select("key", "w")
+    found = [fingerprints(cut, window, k).select("key", F.lit(window).alias("n"), "h", "p")]
+    for n in sorted(short):
+        chain = "0L"
+        for j in range(n):
+            chain = f"xxhash64({chain}, v[i + {j}])"
+        hashed = once(cut.filter(F.size("w") >= n), v=F.expr("transform(w, x -> xxhash64(x))")).select("key", "v")
+        every = F.posexplode(F.expr(f"transform(sequence(0, size(v) - {n}), i -> {chain})")).alias("p", "h")
+        found.append(hashed.select("key", every).select("key", F.lit(n).alias("n"), "h", "p"))
+    met = union(found).join(marks, ["n", "h"], "left_semi")
+    # where windows that hold a hit may start; a document sends each start once
+    reach = F.when(F.col("n") == window, F.expr(f"sequence(greatest(p - {window - k}, 0), p)")).otherwise(F.array("p"))
+    starts = met.select("key", "n", F.explode(reach).alias("s")).groupBy("key").agg(
+        F.collect_set(F.struct("s", "n")).alias("starts")
     )
-    # extend a hit to every window that holds it
-    starts = (
-        fingerprints(cut, window, k)
-        .join(marks, "h", "left_semi")
-        .select(
-            "key",
-            F.explode(
-                F.expr(
-                    f"transform(sequence(greatest(p - {window - k}, 0), least(p, size(w) - {window})), "
-                    f"s -> named_struct('s', s, 'win', array_join(slice(w, s + 1, {window}), ' ')))"
-                )
-            ).alias("c"),
-        )
-        .select("key", "c.s", F.lit(window).alias("n"), "c.win")
+    starts = cut_lineage(starts, "window-starts")
+    held = once(docs.join(starts, "key").select("key", "text", "starts"), w=words("text"))
+    texts_of = F.expr(
+        "transform(filter(starts, c -> c.s + c.n <= size(w)), "
+        "c -> named_struct('s', c.s, 'n', c.n, 'win', array_join(slice(w, c.s + 1, c.n), ' ')))"
     )
-    found = [starts]
-    for n in sorted(short):
-        found.append(
-            cut.filter(F.size("w") >= n).select(
-                "key",
-                F.explode(
-                    F.expr(
-                        f"transform(sequence(0, size(w) - {n}), s -> "
-                        f"named_struct('s', s, 'win', array_join(slice(w, s + 1, {n}), ' ')))"
-                    )
-                ).alias("c"),
-            ).select("key", "c.s", F.lit(n).alias("n"), "c.win")
-        )
-    hit = union([f.join(wins, "win", "left_semi") for f in found])
-    return cut_lineage(hit, "window-hits"), owners
+    tried = held.select("key", F.inline(texts_of))
+    return cut_lineage(tried.join(wins, ["n", "win"], "left_semi"), "window-hits"), owners
 
 
 def contamination(
@@ -129,18 +134,26 @@ def contamination(
     bench: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
+    item_col: str = "item_id",
     window: int = WINDOW,
     k: int = K,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Null and empty texts have no words. Rows that repeat id and text each get their own, equal row;
-    null ids are kept. An empty benchmark contaminates nothing. Other columns are ignored.
+    Null and empty texts have no words. Rows that repeat id and text each get their own, equal row; null ids
+    are kept. Ids of documents and items keep their type; items that repeat an id are one item with the
+    windows of all its texts, and a null item id counts as the item "null". An empty benchmark contaminates
+    nothing. Other columns are ignored.
     """
-    base = texts(docs, id_col, text_col)
-    keyed = base.withColumn("key", F.xxhash64("doc_id", "text"))
-    hit, owners = hits(keyed, bench, window, k)
-    per_doc = hit.groupBy("key").agg(
+    base = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), keyed(docs, id_col, text_col).alias("key")
+    )
+    held = bench.select(
+        F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item_id"), F.col(text_col).alias("text")
+    )
+    # rows that repeat are looked at once
+    hit, owners = hits(base.select("key", "text"), held, window, k)
+    per_doc = hit.select("key", "s", "n").groupBy("key").agg(
         F.array_sort(F.collect_set(F.struct("s", "n"))).alias("spans")
     )  # spans of one document
     # union of the spans by start: each adds what reaches beyond the furthest end so far
@@ -151,20 +164,19 @@ def contamination(
     )
     per_doc = per_doc.select("key", covered.alias("n_hit"))
     items = (
-        hit.select("key", "win").distinct().join(owners, "win").select("key", "item_id").distinct()
+        hit.select("key", "n", "win").distinct().join(owners, ["n", "win"]).select("key", "item_id").distinct()
         .groupBy("key")
-        .agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
+        .agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
         .select(
             "key",
             F.size("ids").cast("long").alias("n_items"),
             F.sha2(F.array_join("ids", ","), 256).alias("sha"),
         )
     )
-    # words = separators within the text with its own separators stripped, counted without building them
-    n_words = F.size(words("text")).cast("long")
-    found = per_doc.join(items, "key", "left")
+    found = cut_lineage(per_doc.join(items, "key", "left"), "contaminated")
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(CASED_WORD)).cast("long")
     return (
-        keyed.select("doc_id", "key", n_words.alias("n_words"))
+        base.select("doc_id", "key", n_words.alias("n_words"))
         .join(found, "key", "left")
         .select(
             "doc_id",
@@ -178,12 +190,28 @@ def contamination(
 
 
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without any benchmark window, all columns as they are."""
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
-    pairs = docs.select(
-        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("key"), F.col(text_col).alias("text")
-    )
-    hit, _ = hits(pairs, bench)
-    return keyed.join(hit.select(F.col("key").alias("__key")).distinct(), "__key", "left_anti").select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    """Documents without any benchmark window, all columns as they are, whatever their names."""
+    own = docs.select(keyed(docs, id_col, text_col).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    pairs = docs.select(keyed(docs, id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    held = bench.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
+    hit, _ = hits(pairs, held)
+    return own.join(hit.select("key").distinct(), "key", "left_anti").select("row.*")
+
+
+_CUT = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: The same by comparing all windows, for the other engine.
+SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, {_CUT} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS id, {_CUT} AS w FROM benchmark),
+iw AS (SELECT DISTINCT id, n, array_to_string(w[s:s + n - 1], ' ') AS win FROM (
+  SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM (
+    SELECT id, w, least(len(w), {WINDOW}) AS n FROM i WHERE len(w) > 0))),
+dw AS (SELECT k, s, n, array_to_string(w[s:s + n - 1], ' ') AS win FROM (
+  SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+hit AS (SELECT k, s, n, id FROM dw JOIN iw USING (n, win)),
+words_hit AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(s, s + n)) AS p FROM hit) GROUP BY k),
+items_hit AS (SELECT k, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT k, id FROM hit) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words_hit USING (k) LEFT JOIN items_hit USING (k)"""

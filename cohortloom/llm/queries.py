@@ -37,6 +37,7 @@ QUERIES = {
     "op13_spelling": lambda s, d: spelling.variants(table(s, d, "documents")),
 }
 ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.SQL,
     "op11_zip_warc": archives.SQL,
     "op12_infill": infill.SQL,
 }

@@ -49,11 +49,25 @@ def test_decontamination(docs, rows):
         row = got[doc]
         assert (row["n_words"], row["n_hit"], row["n_items"], row["items_sha256"]) == (len(w), len(hit), len(items), digest)
         assert row["contaminated"] == bool(hit)
-    kept = decontaminate.clean(docs, bench)
-    assert kept.columns == docs.columns
+    kept = decontaminate.clean(docs.withColumnRenamed("n", "key"), bench)
+    assert kept.columns == ["doc_id", "text", "item_id", "key"]
     assert {r["doc_id"] for r in kept.collect()} == {d for d, r in got.items() if not r["contaminated"]}
 
 
+def test_decontamination_of_text_ids_repeats_and_long_texts(rows):
+    text = " ".join(BASE)
+    docs = rows([("b", text), ("b", text), ("c", f"{text} " * 3_000 + "omega"), (None, text), ("d", text[:20])],
+                "doc_id string, text string")
+    bench = rows([("x", text[3:70]), ("x", "Omega"), (None, text[40:]), ("x", text[3:70])], "item_id string, text string")
+    got = decontaminate.contamination(docs, bench).collect()
+    both = hashlib.sha256(b"null,x").hexdigest()
+    assert sorted((r["doc_id"] or "", r["n_items"], r["items_sha256"] == both) for r in got) == [
+        ("", 2, True), ("b", 2, True), ("b", 2, True), ("c", 2, True), ("d", 0, False)
+    ]
+    assert next(r["n_words"] for r in got if r["doc_id"] == "c") == len(BASE) * 3_000 + 1
+    assert decontaminate.clean(docs, rows([], "item_id long, text string")).count() == 5
+
+
 def test_nearest(rows):
     r = np.random.default_rng(0)
     v = r.normal(size=(300, 8)).astype(np.float32)
