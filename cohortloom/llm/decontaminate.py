@@ -17,10 +17,9 @@ from cohortloom.session import cut_lineage
 
 WINDOW = 10
 K = 5
-# The characters of a word and, in lower-cased text, of what stands between words.
-CASED_WORD = r"[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"
+# What stands between words, in lower-cased and in any text.
 NOT_WORD = r"[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
-
+CASED_NOT_WORD = r"[\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"
 
 # Bits of the place that a packed hash carries; a window is far shorter than what they count.
 _PLACE_BITS = 24
@@ -49,21 +48,33 @@ def _winnow(run: int) -> tuple[str, str]:
     """
     low = (1 << _PLACE_BITS) - 1
     packed = f"transform(h, (x, i) -> shiftleft(x, {_PLACE_BITS}) | (i & {low}))"
+    smallest = "least(" + ", ".join(f"m[i + {j}]" if j else "m[i]" for j in range(run)) + ")" if run > 1 else "m[i]"
     return (
-        f"array_distinct(transform(sequence(0, greatest(size(h) - {run}, 0)), i -> "
-        f"i + cast((array_min(slice(m, i + 1, {run})) - i) & {low} AS int)))"
+        f"array_distinct(transform(sequence(0, size(m) - {run}), i -> i + cast(({smallest} - i) & {low} AS int)))"
     ), packed
 
 
+def _unfolded(df: DataFrame, columns: list[str], cells: str) -> DataFrame:
+    """A row for each struct of an array. The outer form computes the array once; the plain one is preceded
+    by a test for emptiness that computes it as well."""
+    rows = df.select(*columns, F.inline_outer(F.expr(cells)))
+    return rows.filter(F.col(next(c for c in rows.columns if c not in columns)).isNotNull())
+
+
 def fingerprints(df: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """Rows (key, h, p): kept hashes of a table (key, w) of word arrays with ``window`` words or more."""
+    """Rows (key, h, first, c): kept hashes of a table (key, w) of word arrays with ``window`` words or more.
+
+    ``c`` holds the words of all windows around the hash, of which ``first`` is the place of the first.
+    """
     places, packed = _winnow(window - k + 1)
-    others = [c for c in df.columns if c != "w"]
     cut = once(df.filter(F.size("w") >= window), v=F.expr("transform(w, x -> xxhash64(x))"))
-    cut = once(cut.select(*others, "v"), h=F.expr(_grams(k)))
-    cut = once(cut.select(*others, "h"), m=F.expr(packed))
-    kept = cut.select(*others, "h", F.explode(F.expr(places)).alias("p"))
-    return kept.select(*others, F.expr("h[p]").alias("h"), "p")
+    cut = once(cut.select(*df.columns, "v"), h=F.expr(_grams(k)))
+    cut = once(cut.select(*df.columns, "h"), m=F.expr(packed))
+    cells = (
+        f"transform({places}, p -> named_struct('h', h[p], 'first', greatest(p - {window - k}, 0), "
+        f"'c', slice(w, greatest(p - {window - k}, 0) + 1, least(p, {window - k}) + {window})))"
+    )
+    return _unfolded(cut, [c for c in df.columns if c != "w"], cells)
 
 
 def _windows(df: DataFrame, size: int) -> DataFrame:
@@ -84,8 +95,8 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, k: int = K) ->
     """Windows of documents (key, text) that a benchmark (item_id, text) holds.
 
     Returns (key, s, n, win): start, words and text of each hit window, and (item_id, n, win): the windows of
-    items. Fingerprints meet as numbers; words are cut a second time in documents with a hit only. All joins
-    are Spark's to choose: the benchmark sides are written tables, broadcast if they are small enough.
+    items. A fingerprint carries the words around it, at most ``2 * window - k``, so that no text moves. All
+    joins are Spark's to choose: the benchmark sides are written tables, broadcast if they are small enough.
     """
     items = cut_lineage(bench.select("item_id", words("text").alias("w")), "bench-words")
     short = [
@@ -105,28 +116,24 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, k: int = K) ->
     ]
     marks = cut_lineage(union(marked).distinct(), "bench-marks")
     cut = once(docs.select("key", "text"), w=words("text")).select("key", "w")
-    found = [fingerprints(cut, window, k).select("key", F.lit(window).alias("n"), "h", "p")]
+    found = [fingerprints(cut, window, k).withColumn("n", F.lit(window))]
     for n in sorted(short):
         chain = "0L"
         for j in range(n):
             chain = f"xxhash64({chain}, v[i + {j}])"
-        hashed = once(cut.filter(F.size("w") >= n), v=F.expr("transform(w, x -> xxhash64(x))")).select("key", "v")
-        every = F.posexplode(F.expr(f"transform(sequence(0, size(v) - {n}), i -> {chain})")).alias("p", "h")
-        found.append(hashed.select("key", every).select("key", F.lit(n).alias("n"), "h", "p"))
+        hashed = once(cut.filter(F.size("w") >= n), v=F.expr("transform(w, x -> xxhash64(x))"))
+        cells = (
+            f"transform(sequence(0, size(v) - {n}), i -> "
+            f"named_struct('h', {chain}, 'first', i, 'c', slice(w, i + 1, {n})))"
+        )
+        found.append(_unfolded(hashed, ["key"], cells).withColumn("n", F.lit(n)))
     met = union(found).join(marks, ["n", "h"], "left_semi")
-    # where windows that hold a hit may start; a document sends each start once
-    reach = F.when(F.col("n") == window, F.expr(f"sequence(greatest(p - {window - k}, 0), p)")).otherwise(F.array("p"))
-    starts = met.select("key", "n", F.explode(reach).alias("s")).groupBy("key").agg(
-        F.collect_set(F.struct("s", "n")).alias("starts")
-    )
-    starts = cut_lineage(starts, "window-starts")
-    held = once(docs.join(starts, "key").select("key", "text", "starts"), w=words("text"))
-    texts_of = F.expr(
-        "transform(filter(starts, c -> c.s + c.n <= size(w)), "
-        "c -> named_struct('s', c.s, 'n', c.n, 'win', array_join(slice(w, c.s + 1, c.n), ' ')))"
+    around = (
+        "transform(sequence(0, size(c) - n), j -> "
+        "named_struct('s', first + j, 'win', array_join(slice(c, j + 1, n), ' ')))"
     )
-    tried = held.select("key", F.inline(texts_of))
-    return cut_lineage(tried.join(wins, ["n", "win"], "left_semi"), "window-hits"), owners
+    tried = _unfolded(met, ["key", "n"], around)
+    return cut_lineage(tried.join(wins, ["n", "win"], "left_semi").distinct(), "window-hits"), owners
 
 
 def contamination(
@@ -153,7 +160,7 @@ def contamination(
     )
     # rows that repeat are looked at once
     hit, owners = hits(base.select("key", "text"), held, window, k)
-    per_doc = hit.select("key", "s", "n").groupBy("key").agg(
+    per_doc = hit.groupBy("key").agg(
         F.array_sort(F.collect_set(F.struct("s", "n"))).alias("spans")
     )  # spans of one document
     # union of the spans by start: each adds what reaches beyond the furthest end so far
@@ -174,7 +181,9 @@ def contamination(
         )
     )
     found = cut_lineage(per_doc.join(items, "key", "left"), "contaminated")
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(CASED_WORD)).cast("long")
+    # upper-case letters need no translation to be counted
+    cut = F.split(F.coalesce("text", F.lit("")), CASED_NOT_WORD)
+    n_words = F.size(F.array_remove(cut, "")).cast("long")
     return (
         base.select("doc_id", "key", n_words.alias("n_words"))
         .join(found, "key", "left")
