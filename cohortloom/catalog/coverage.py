@@ -138,8 +138,8 @@ def _(t):
 
 @query(
     "join_split_manifest",
-    """SELECT s.hadm_id, s.note_id, split, len(list(icd_code)) AS n_labels
-       FROM silver s JOIN manifest USING (hadm_id) JOIN cohort_cells USING (hadm_id)
+    """SELECT s.hadm_id, s.note_id, split, count(icd_code) AS n_labels
+       FROM silver s JOIN manifest USING (hadm_id) LEFT JOIN cohort_cells USING (hadm_id)
        GROUP BY s.hadm_id, s.note_id, split""",
 )
 def _(t):
@@ -148,7 +148,8 @@ def _(t):
     cells = lb.label_cells(codes, lb.top_k_codes(codes, TOP_K))
     per = cells.groupBy("hadm_id").agg(F.count(F.lit(1)).alias("n_labels"))
     placed = sp.join_split_manifest(notes, sp.patient_split(notes))
-    return placed.join(per, "hadm_id").select("hadm_id", "note_id", "split", "n_labels")
+    n_labels = F.coalesce("n_labels", F.lit(0)).alias("n_labels")
+    return placed.join(per, "hadm_id", "left").select("hadm_id", "note_id", "split", n_labels)
 
 
 @query("join_pred_truth", "SELECT hadm_id, icd_code, prob, y FROM scored")

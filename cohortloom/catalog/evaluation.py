@@ -248,7 +248,7 @@ def _period_metrics(parity):
         FROM decided GROUP BY 1, 2),
       a AS ({_period_metrics(0)}), b AS ({_period_metrics(1)})
       SELECT metric, round(a.value, 9) AS val, round(b.value, 9) AS test,
-        round(abs(a.value - b.value), 9) AS drift FROM a JOIN b USING (metric)""",
+        round(abs(a.value - b.value), 9) AS drift FROM a FULL JOIN b USING (metric)""",
 )
 def _(t):
     # all documents, each in one of two seeded parts
@@ -264,8 +264,9 @@ def _(t):
 
 @query(
     "metric_gates",
-    """SELECT metric, round(value, 9) AS value, target, floor, value >= target AS meets_target,
-       coalesce(value >= floor, true) AS meets_floor FROM metric_rows JOIN (VALUES
+    """SELECT metric, round(value, 9) AS value, target, floor, coalesce(value >= target, false) AS meets_target,
+       CASE WHEN floor IS NULL THEN true ELSE coalesce(value >= floor, false) END AS meets_floor
+       FROM metric_rows RIGHT JOIN (VALUES
        ('micro_f1', 0.70::DOUBLE, 0.55::DOUBLE), ('macro_f1', 0.55::DOUBLE, 0.40::DOUBLE),
        ('p_at_5', 0.70::DOUBLE, NULL), ('p_at_8', 0.65::DOUBLE, NULL)) AS g(metric, target, floor)
        USING (metric)""",

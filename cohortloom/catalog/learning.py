@@ -13,13 +13,16 @@ from cohortloom.operators import metrics as mx
 from cohortloom.operators import model as md
 from cohortloom.operators import scores as sc
 from cohortloom.operators import splits as sp
-from cohortloom.params import ModelParams
+from cohortloom.params import FeatureParams, ModelParams
 from cohortloom.session import cut_lineage, fresh_path
 from cohortloom.sources.stages import StagePaths
 from cohortloom.streaming import jobs
 
 MIN_DF, MAX_FEATURES = 5, 5000
 
+# A model reads the whole vocabulary.
+FULL = FeatureParams()
+
 
 @query("tokenize_words", "SELECT note_id, array_to_string(w, ' ') AS words, len(w) AS n FROM words")
 def _(t):
@@ -27,6 +30,25 @@ def _(t):
     return words.select("note_id", F.array_join("w", " ").alias("words"), F.size("w").alias("n"))
 
 
+# Characters that fold to one or several others, in and beyond the basic plane, and their words.
+FOLDED = "Café ﬁne ½x ⑩⑪ ﷺ 한글 각 𝐀𝐛𝟏 ㍿ Ｆｕｌｌ ǆa Ⅷi"
+FOLDED_WORDS = [
+    "cafe", "fine", "2x", "1011", "صلى", "الله", "عليه", "وسلم", "\u1112\u1161\u11ab\u1100\u1173\u11af",
+    "\u1100\u1161\u11a8", "Ab1", "株式会社", "full", "dza", "viiii",
+]
+
+
+@query(
+    "tokenize_any_script",
+    f"""SELECT note_id, array_to_string(list_concat(w, {FOLDED_WORDS!r}), ' ') AS words, len(w) + {len(FOLDED_WORDS)} AS n
+        FROM words""",
+)
+def _(t):
+    mixed = F.concat(F.coalesce("text", F.lit("")), F.lit(f" {FOLDED}"))
+    words = t.texts.select("note_id", tx.tokenize_words(mixed).alias("w"))
+    return words.select("note_id", F.array_join("w", " ").alias("words"), F.size("w").alias("n"))
+
+
 @query("word_ngrams", "SELECT note_id, term, tf FROM doc_terms")
 def _(t):
     terms = fx.document_terms(t.texts, key="note_id")
@@ -51,7 +73,7 @@ def _(t):
 def _(t):
     terms = _terms(t)
     idf = fx.inverse_frequency(fx.vocabulary(terms, MIN_DF, MAX_FEATURES), terms.count())
-    rows = fx.tfidf(terms, fx.small_vocabulary(idf), key="note_id")
+    rows = fx.tfidf(terms, idf, key="note_id")
     long = fx.long_features(rows, key="note_id")
     return long.withColumn("weight", F.round("weight", 9))
 
@@ -59,7 +81,7 @@ def _(t):
 @query(
     "assemble_sparse_vectors",
     """SELECT note_id, (SELECT CAST(count(*) AS INT) FROM vocab) AS width,
-       CAST(count(term_idx) AS INT) AS n_terms
+       CAST(count(term_idx) AS INT) AS n_terms, round(coalesce(sum(w * sin(term_idx)) / sqrt(sum(w * w)), 0), 6) AS mixed
        FROM notes LEFT JOIN weights USING (note_id) GROUP BY note_id""",
 )
 def _(t):
@@ -69,11 +91,15 @@ def _(t):
     idf = cut_lineage(
         fx.inverse_frequency(fx.vocabulary(terms, MIN_DF, MAX_FEATURES), terms.count()), "idf"
     )
-    rows = fx.tfidf(terms, fx.small_vocabulary(idf), key="note_id")
+    rows = fx.tfidf(terms, idf, key="note_id")
     vectors = fx.assemble_sparse_vectors(rows, idf.count(), key="note_id")
     dense = vector_to_array("features")
     nonzero = F.array_remove(dense, 0.0)
-    return vectors.select("note_id", F.size(dense).alias("width"), F.size(nonzero).alias("n_terms"))
+    # weights and their places as one number
+    mixed = F.aggregate(F.transform(dense, lambda v, i: v * F.sin(i)), F.lit(0.0), lambda a, x: a + x)
+    return vectors.select(
+        "note_id", F.size(dense).alias("width"), F.size(nonzero).alias("n_terms"), F.round(mixed, 6).alias("mixed")
+    )
 
 
 @query(
@@ -90,24 +116,24 @@ def _(t):
 class Trained:
     """A model of all labels over the training part of the cohort."""
 
-    def __init__(self, t, k=4, max_iter=40):
+    def __init__(self, t, k=TOP_K, params=ModelParams()):
         self.k = k
         keys = cut_lineage(silver(t), "silver")
         from cohortloom.operators.coverage import restrict_to_coded_cohort
 
         notes = cut_lineage(restrict_to_coded_cohort(keys, t.diagnoses), "cohort")
-        target = lb.build_labels(notes.select("hadm_id"), t.diagnoses, k, gate=0.95)
+        target = lb.build_labels(notes.select("hadm_id"), t.diagnoses, k)
         self.labels, self.cells = target.labels, cut_lineage(target.cells, "cells")
         self.manifest = cut_lineage(sp.patient_split(notes.select("hadm_id", "subject_id")), "manifest")
         self.terms = cut_lineage(fx.document_terms(notes), "terms")
         train = sp.join_split_manifest(self.terms, self.manifest, "train")
-        vocab = fx.vocabulary(train, MIN_DF, MAX_FEATURES)
+        vocab = fx.vocabulary(train, FULL.min_df, FULL.max_features)
         self.idf = cut_lineage(fx.inverse_frequency(vocab, train.count()), "idf")
         self.size = self.idf.count()
-        self.small = fx.small_vocabulary(self.idf)
+        self.small = fx.term_dictionary(self.idf)
         vectors = lb.label_vectors(notes, self.cells, k)
         self.model = md.fit_ovr_logistic(
-            fx.tfidf(train, self.small), vectors, self.labels, self.size, ModelParams(max_iter=max_iter)
+            fx.tfidf(train, self.small), vectors, self.labels, self.size, params
         )
 
     def scores(self, split=None):
@@ -144,7 +170,7 @@ def _(t):
     val = sc.align_scores(trained.scores("val"), trained.cells)
     tuned = mx.tune_thresholds(sc.long_scores(val))
     test = cut_lineage(sc.align_scores(trained.scores("test"), trained.cells), "test")
-    return mx.evaluate_multilabel(test, tuned, trained.k, (1, 3))
+    return mx.evaluate_multilabel(test, tuned, trained.k)
 
 
 _STARTS = """SELECT note_id, w, n, unnest(range(0, CAST(greatest(ceil((n - 64) / 48.0), 0) AS BIGINT) + 1)) AS i

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from cohortloom import schemas
 from cohortloom.catalog.coverage import silver, silver_keys
 from cohortloom.catalog.labelling import target
-from cohortloom.catalog.registry import MIN_TOKENS, NOTE_TYPES, query
+from cohortloom.catalog.registry import MIN_TOKENS, NOTE_TYPES, TOP_K, query
 from cohortloom.operators import confusion as cf
 from cohortloom.operators import metrics as mx
 from cohortloom.operators import scores as sc
 from cohortloom.operators import splits as sp
-from cohortloom.params import CohortParams, FeatureParams, ModelParams, RawPaths, RunParams, EvalParams
+from cohortloom.params import CohortParams, RawPaths, RunParams
 from cohortloom.plans import error_analysis as ea
 from cohortloom.plans import profiling as pp
 from cohortloom.plans import stages as ps
@@ -194,12 +194,7 @@ def _(t):
     return st.read_stage(t.spark, stages.report("per_label"), "error analysis")
 
 
-PARAMS = RunParams(
-    cohort=CohortParams(10, MIN_TOKENS, 4, NOTE_TYPES, max_unlabelled=0.95),
-    features=FeatureParams((1, 1), 2, 3000),
-    model=ModelParams(max_iter=30),
-    evaluation=EvalParams(k_list=(1, 3)),
-)
+PARAMS = RunParams(cohort=CohortParams(10, MIN_TOKENS, TOP_K, NOTE_TYPES))
 
 
 @query("run_bronze", _BRONZE_COUNTS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -59,16 +60,22 @@ def _without_marks(char: str) -> str:
     return "".join(p for p in parts if not unicodedata.combining(p))
 
 
+# Hangul syllables decompose by rule: first consonants, vowels and last consonants count up from these.
+_SYLLABLE, _FIRST, _VOWEL, _LAST = 0xAC00, 0x1100, 0x1161, 0x11A7
+_FIRSTS, _VOWELS, _LASTS = 19, 21, 28
+_SYLLABLES = range(_SYLLABLE, _SYLLABLE + _FIRSTS * _VOWELS * _LASTS)
+
+
 @lru_cache(maxsize=1)
-def _fold_tables() -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
+def _fold_tables() -> tuple[str, str, str, dict[str, str]]:
     """Accent folding as data, derived from the Unicode tables that ship with Python.
 
-    Returns the one-to-one characters, their replacements, the combining marks to drop, and the
-    letters that unfold to several ASCII letters (ligatures).
+    Returns the one-to-one characters, their replacements, the combining marks to drop, and what the
+    characters unfold to that become several. Hangul syllables are left to ``_unfolded_syllable``.
     """
-    source, target, dropped, ligatures = [], [], [], []
-    for code in range(0x80, min(sys.maxunicode, 0xFFFF) + 1):
-        if 0xD800 <= code <= 0xDFFF:
+    source, target, dropped, several = [], [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= code <= 0xDFFF or code in _SYLLABLES:
             continue
         char = chr(code)
         folded = _without_marks(char)
@@ -79,25 +86,52 @@ def _fold_tables() -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
         elif len(folded) == 1:
             source.append(char)
             target.append(folded)
-        elif folded.isascii() and folded.isalpha():
-            ligatures.append((char, folded))
-    return "".join(source), "".join(target), "".join(dropped), tuple(ligatures)
+        else:
+            several[char] = folded
+    return "".join(source), "".join(target), "".join(dropped), several
+
+
+def _char_class(codes: Iterable[int]) -> str:
+    """A regular expression class of code points, neighbours as ranges."""
+    ranges: list[list[int]] = []
+    for code in sorted(codes):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+def _unfolded_syllable(char: Column) -> Column:
+    """The two or three letters of a Hangul syllable."""
+    place = F.ascii(char) - _SYLLABLE
+    letters = lambda first, n: F.lit("".join(chr(first + i) for i in range(n)))
+    first = F.substring(letters(_FIRST, _FIRSTS), F.floor(place / (_VOWELS * _LASTS)).cast("int") + 1, F.lit(1))
+    vowel = F.substring(letters(_VOWEL, _VOWELS), F.floor(place % (_VOWELS * _LASTS) / _LASTS).cast("int") + 1, F.lit(1))
+    last = F.substring(letters(_LAST + 1, _LASTS - 1), (place % _LASTS).cast("int"), F.lit(1))
+    return F.concat(first, vowel, F.when(place % _LASTS == 0, F.lit("")).otherwise(last))
 
 
 def fold_accents(text: Column) -> Column:
-    """Compatibility decomposition without combining marks, as one ``translate`` call.
+    """Compatibility decomposition without combining marks, for every character of Unicode.
 
-    Only texts with a character outside ASCII (more bytes than characters) pay for it.
+    Characters that become one other go through one ``translate`` call. Those that become several are
+    replaced one kind after the other, only the kinds that the text holds. Only texts with a character
+    outside ASCII (more bytes than characters) pay for any of it.
     """
-    source, target, dropped, ligatures = _fold_tables()
+    source, target, dropped, several = _fold_tables()
     folded = F.translate(text, source + dropped, target)
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c, s in ligatures])
-    unfolded = F.aggregate(pairs, folded, lambda done, p: F.replace(done, p["c"], p["s"]))
-    # dropping characters is quicker than a regular expression with a class of that many
-    without = F.translate(text, "".join(char for char, _ in ligatures), "")
-    has_ligature = F.octet_length(without) != F.octet_length(text)
+    pairs = "\x1e".join(f"{c}\x1f{s}" for c, s in several.items())
+    unfolds = F.str_to_map(F.lit(pairs), F.lit("\x1e"), F.lit("\x1f"))
+    kinds = _char_class([*map(ord, several), *_SYLLABLES])
+    held = F.array_distinct(F.regexp_extract_all(text, F.lit(kinds), F.lit(0)))
+    unfolded = F.aggregate(
+        held,
+        folded,
+        lambda done, c: F.replace(done, c, F.coalesce(F.try_element_at(unfolds, c), _unfolded_syllable(c))),
+    )
     ascii_only = F.octet_length(text) == F.length(text)
-    return F.when(ascii_only, text).when(has_ligature, unfolded).otherwise(folded)
+    return F.when(ascii_only, text).when(text.rlike(kinds), unfolded).otherwise(folded)
 
 
 def tokenize_words(text: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,8 +11,9 @@ from pyspark.sql import functions as F
 from cohortloom.errors import LabelError
 from cohortloom.functions.codes import normalize_code
 from cohortloom.functions.text import char_length, clean_text, clean_token_length, token_length
-from cohortloom.operators.tables import computed_once, top
-from cohortloom.session import small_side
+from cohortloom.operators.ordered import ranked
+from cohortloom.operators.tables import computed_once
+from cohortloom.session import cut_lineage
 
 SILVER_COLUMNS = ("note_id", "subject_id", "hadm_id", "text", "n_tokens")
 
@@ -62,24 +62,52 @@ def dedup_dictionary(dictionary: DataFrame, version: int = 10) -> DataFrame:
 
 
 def sample_order(seed: int, key: str) -> Column:
-    """A seeded pseudo-random order of the rows, the same on every run and engine."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    """A seeded pseudo-random order of the rows, the same on every run and engine; null is a key as well."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("\x00"))))
 
 
-def _first_by_hash(df: DataFrame, n: int, total: int, seed: int, key: str) -> DataFrame:
-    """The ``n`` rows that come first in the seeded order, of ``total`` rows.
+# Hash digits that rows are counted by: 16 ** 3 counts reach the driver for each group.
+_PREFIX = 3
 
-    Only rows below a hash that about ``n`` rows are expected under are sorted, so that no more than
-    those reach the last task. If the expectation was too low, all rows are.
+
+def _first_by_hash(df: DataFrame, sizes: dict[str | None, int], seed: int, key: str, by: str | None = None) -> DataFrame:
+    """The rows that come first in the seeded order: of each value of ``by`` as many as ``sizes`` says.
+
+    Rows are counted by hash prefix, which tells the prefixes that are in as a whole and the one that is
+    cut. Rows of a cut prefix are ranked over ranges of the table; rows of equal keys follow in the order of
+    their other columns, then of their place in the written table, so that repeated keys cannot move a size.
     """
-    order = [sample_order(seed, key), F.col(key)]
-    expected = n + 10 * n**0.5 + 100
-    if expected < total:
-        ceiling = f"{int(16**8 * expected / total):08x}"
-        likely = df.filter(order[0] < F.lit(ceiling))
-        if likely.count() >= n:
-            df = likely
-    return top(df, order, n)
+    h = sample_order(seed, key)
+    group = F.col(by) if by else F.lit(None).cast("string")
+    prefix = F.substring(h, 1, _PREFIX)
+    counts = df.groupBy(group.alias("g"), prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    if by:
+        counts = counts.filter(F.col("g").isin(list(sizes)))
+    counted: dict[str | None, list[tuple[str, int]]] = {}
+    for r in counts.collect():  # 4096 rows a group at most
+        counted.setdefault(r.g, []).append((r.p, r.n))
+    whole, parts = F.lit(False), []
+    for name, n in sizes.items():
+        mine = group == F.lit(name) if by else F.lit(True)
+        seen, cut = 0, None
+        for bucket, size in sorted(counted.get(name, [])):
+            if seen + size > n:
+                cut = bucket
+                break
+            seen += size
+        below = mine if cut is None else mine & (prefix < cut)
+        whole = whole | below
+        if cut is not None and n > seen:
+            parts.append((mine & (prefix == cut), n - seen))
+    drawn = df.filter(whole)
+    others = [c for c, kind in df.dtypes if "map<" not in kind]
+    for edge, n in parts:
+        rows = df.filter(edge).withColumn("_h", h).withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in others]))
+        placed = cut_lineage(rows.withColumn("_place", F.monotonically_increasing_id()), "sample-edge")
+        order = [F.col("_h"), F.col("_row"), F.col("_place")]
+        first = ranked(placed, order, "_rank").filter(F.col("_rank") <= n)
+        drawn = drawn.unionByName(first.select(*[F.col(f"`{c}`") for c in df.columns]))
+    return drawn
 
 
 def sample_fixed_n(
@@ -87,28 +115,17 @@ def sample_fixed_n(
 ) -> DataFrame:
     """``n`` rows drawn without replacement; the whole table if ``n`` is None or it has fewer.
 
-    The keys are drawn from a scan of the key column alone, the rows fetched by a semi-join.
+    Exactly ``n`` rows come out, also if keys repeat or are null. One scan of the key column counts; the
+    rows then find themselves by their own hash.
     """
-    if n is None:
-        return df
-    keys = df.select(key)
-    total = keys.count()
-    if total <= n:
-        return df
-    return df.join(small_side(_first_by_hash(keys, n, total, seed, key)), key, "left_semi")
+    return df if n is None else _first_by_hash(df, {None: n}, seed, key)
 
 
 def sample_split_subset(
     manifest: DataFrame, sizes: dict[str, int], seed: int = 42, key: str = "hadm_id"
 ) -> DataFrame:
-    """A fixed number of rows of each named split, drawn without replacement."""
-    counts = manifest.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-    totals = {r.split: r.n for r in counts.filter(F.col("split").isin(list(sizes))).collect()}
-    parts = [
-        _first_by_hash(manifest.filter(F.col("split") == name), n, totals.get(name, 0), seed, key)
-        for name, n in sizes.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """A fixed number of rows of each named split, drawn without replacement; all of a smaller split."""
+    return _first_by_hash(manifest, dict(sizes), seed, key, by="split")
 
 
 def compute_lengths(notes: DataFrame) -> DataFrame:

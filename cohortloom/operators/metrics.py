@@ -276,7 +276,7 @@ def evaluate_multilabel(
     n_labels: int,
     k_list: Sequence[int] = (5, 8, 15),
 ) -> DataFrame:
-    """All headline metrics as ``(metric, value)`` rows; undefined ones are left out."""
+    """All headline metrics as ``(metric, value)`` rows; the value of an undefined one is null."""
     from cohortloom.operators.scores import long_scores
 
     small = small_side(thresholds)
@@ -289,7 +289,7 @@ def evaluate_multilabel(
     at_k = precision_at_k(wide, k_list, n_labels).select(
         F.concat(F.lit("p_at_"), F.col("k")).alias("metric"), F.col("precision_at_k").alias("value")
     )
-    return reduce(DataFrame.unionByName, [f1, curves, at_k]).filter("value IS NOT NULL")
+    return reduce(DataFrame.unionByName, [f1, curves, at_k])
 
 
 def as_rows(one_row: DataFrame) -> DataFrame:
@@ -344,14 +344,17 @@ def prediction_summary(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def split_drift(validation: DataFrame, test: DataFrame) -> DataFrame:
-    """Metric rows of two parts side by side with their difference."""
+    """Metric rows of two parts side by side with their difference; null for what one part lacks."""
     other = test.select("metric", F.col("value").alias("test"))
-    both = validation.select("metric", F.col("value").alias("val")).join(small_side(other), "metric")
+    both = validation.select("metric", F.col("value").alias("val")).join(other, "metric", "full")
     return both.withColumn("drift", F.abs(F.col("val") - F.col("test")))
 
 
 def metric_gates(metrics: DataFrame) -> DataFrame:
-    """Metrics next to their target and floor; a missing floor counts as passed."""
+    """All gates with their target and floor, next to the metric; a missing floor counts as passed.
+
+    A gate whose metric is absent or undefined has a null value and is not met.
+    """
     gates = [
         F.struct(
             F.lit(name).alias("metric"),
@@ -360,15 +363,18 @@ def metric_gates(metrics: DataFrame) -> DataFrame:
         )
         for name, target, floor in GATES
     ]
-    kept = metrics.withColumn("_gate", F.filter(F.array(*gates), lambda g: g["metric"] == F.col("metric")))
-    gated = kept.filter(F.size("_gate") > 0).select("metric", "value", F.col("_gate")[0].alias("g"))
+    # the gates ride on one row that holds the values of the few gated metrics
+    named = [F.max(F.when(F.col("metric") == name, F.col("value"))).alias(name) for name, _, _ in GATES]
+    cells = [F.struct(g.alias("g"), F.col(name).alias("value")) for g, (name, _, _) in zip(gates, GATES)]
+    gated = metrics.agg(*named).select(F.inline(F.array(*cells)))
+    target, floor = F.col("g.target"), F.col("g.floor")
     return gated.select(
-        "metric",
+        F.col("g.metric").alias("metric"),
         "value",
-        F.col("g.target").alias("target"),
-        F.col("g.floor").alias("floor"),
-        (F.col("value") >= F.col("g.target")).alias("meets_target"),
-        F.coalesce(F.col("value") >= F.col("g.floor"), F.lit(True)).alias("meets_floor"),
+        target.alias("target"),
+        floor.alias("floor"),
+        F.coalesce(F.col("value") >= target, F.lit(False)).alias("meets_target"),
+        F.when(floor.isNull(), F.lit(True)).otherwise(F.coalesce(F.col("value") >= floor, F.lit(False))).alias("meets_floor"),
     )
 
 

@@ -198,7 +198,7 @@ def truncation_impact(lengths: DataFrame, caps: Sequence[int] = TOKEN_CAPS) -> D
     )
 
 
-def deid_marker_stats(notes: DataFrame, sample_size: int | None = 5000, seed: int = 0) -> DataFrame:
+def deid_marker_stats(notes: DataFrame, sample_size: int | None = None, seed: int = 0) -> DataFrame:
     """How dense redaction markers are, per note and per unit of text."""
     drawn = sample_fixed_n(notes, sample_size, seed)
     text = F.col("text")

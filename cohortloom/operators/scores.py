@@ -49,10 +49,15 @@ def join_pred_truth(predictions: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def with_thresholds(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Long cells with the threshold of their label and the 0/1 prediction."""
+    """Long cells with the threshold of their label and the 0/1 prediction.
+
+    A label without a threshold cannot be decided and fails the job.
+    """
     small = small_side(thresholds.select("icd_code", "threshold"))
-    joined = scored.join(small, "icd_code")
-    return joined.withColumn("pred", (F.col("prob") >= F.col("threshold")).cast("int"))
+    joined = scored.join(small, "icd_code", "left")
+    missing = F.raise_error(F.concat(F.lit("no threshold for label "), F.coalesce("icd_code", F.lit("null"))))
+    given = F.coalesce("threshold", missing.cast("double"))
+    return joined.withColumn("threshold", given).withColumn("pred", (F.col("prob") >= F.col("threshold")).cast("int"))
 
 
 def threshold_predict(predictions: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortloom.errors import SplitError
-from cohortloom.operators.tables import distinct_keys
 
 SPLITS = ("train", "val", "test")
 
@@ -18,7 +17,7 @@ _PREFIX = 3
 
 
 def _hash(seed: int, key: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("\x00"))))
 
 
 def _cut_points(subjects: DataFrame, counts: list[tuple[str, int]], ranks: list[int]) -> list[str]:
@@ -56,12 +55,13 @@ def patient_split(
 
     Subjects are ordered by a seeded hash; the first ``round(train * n)`` train, the next
     ``round(val * n)`` validate, the rest test. Once the two cut points are known, a row finds its
-    part from its own hash: no shuffle and no join of the notes.
+    part from its own hash: no shuffle and no join of the notes. Rows without a subject might be anyone's
+    and stay together, as one subject of their own.
     """
     total = train + val + test
     if abs(total - 1.0) > 1e-6:
         raise SplitError(f"fractions sum to {total}, not 1")
-    subjects = distinct_keys(notes, "subject_id").select(_hash(seed, "subject_id").alias("h"))
+    subjects = notes.select("subject_id").distinct().select(_hash(seed, "subject_id").alias("h"))
     bucket = F.substring("h", 1, _PREFIX).alias("bucket")
     rows = subjects.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).collect()  # 4096 at most
     counts = sorted((r.bucket, r.n) for r in rows)
@@ -71,7 +71,7 @@ def patient_split(
     ranks = sorted({r for r in ends.values() if r > 0})
     hashes = dict(zip(ranks, _cut_points(subjects, counts, ranks))) if ranks else {}
     h = _hash(seed, "subject_id")
-    part = F.when(F.col("subject_id").isNull(), F.lit(None).cast("string"))
+    part = F.when(F.lit(False), F.lit("test"))
     for name in ("train", "val"):
         if ends[name] > 0:
             part = part.when(h <= hashes[ends[name]], F.lit(name))
@@ -96,7 +96,7 @@ def split_counts(manifest: DataFrame) -> DataFrame:
     """Subjects and admissions per part."""
     per_subject = manifest.groupBy("split", "subject_id").agg(F.count(F.lit(1)).alias("n"))
     return per_subject.groupBy("split").agg(
-        F.count("subject_id").alias("n_patients"), F.sum("n").alias("n_admissions")
+        F.count(F.lit(1)).alias("n_patients"), F.sum("n").alias("n_admissions")
     )
 
 

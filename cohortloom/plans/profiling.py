@@ -46,7 +46,7 @@ def profile_tables(
         "length_percentiles": pf.length_percentiles(lengths),
         "truncation": pf.truncation_impact(lengths),
         "length_histogram": pf.equal_width_histogram(lengths, "n_tokens"),
-        "deid_markers": pf.deid_marker_stats(notes, 10_000),
+        "deid_markers": pf.deid_marker_stats(notes),
         "duplication": pf.note_duplication_summary(notes),
         "versions": pf.icd_version_distribution(diagnoses),
         "versions_by_year": by_year,

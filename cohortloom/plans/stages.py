@@ -85,9 +85,9 @@ def run_train(
     write_stage(idf, stages.gold("vocabulary"))
     idf = read_stage(spark, stages.gold("vocabulary"), "train")
     size = idf.count()
-    small = fx.small_vocabulary(idf)
+    known = fx.term_dictionary(idf)
 
-    model = md.fit_ovr_logistic(fx.tfidf(train_terms, small), vectors, labels, size, params.model)
+    model = md.fit_ovr_logistic(fx.tfidf(train_terms, known), vectors, labels, size, params.model)
     write_stage(model, stages.gold("model"))
     ev = params.evaluation
     wide = score_split(spark, stages, "val", truth=cells)
@@ -120,7 +120,7 @@ def score_split(
     terms = read_stage(spark, stages.gold("terms"), "train")
     part = terms.filter(F.col("split") == split).drop("split")
     size = idf.count()
-    features = fx.tfidf(part, fx.small_vocabulary(idf))
+    features = fx.tfidf(part, idf)
     return sc.align_scores(md.predict_proba(features, model, size), truth)
 
 
@@ -133,8 +133,7 @@ def _write_metrics(
     split: str,
     run_id: str,
 ) -> DataFrame:
-    k_list = [k for k in params.evaluation.k_list if k <= n_labels]
-    metrics = mx.evaluate_multilabel(wide, thresholds, n_labels, k_list)
+    metrics = mx.evaluate_multilabel(wide, thresholds, n_labels, params.evaluation.k_list)
     keyed = metrics.select(F.lit(run_id).alias("run_id"), "metric", "value")
     write_stage(keyed, stages.gold(f"metrics_{split}"))
     return read_stage(wide.sparkSession, stages.gold(f"metrics_{split}"), "train")

@@ -219,3 +219,35 @@ def test_split_subset_sizes(rows):
     counts = {r.split: r["count"] for r in got.groupBy("split").count().collect()}
     assert counts == {"train": 20, "val": 5}
     assert got.exceptAll(cu.sample_split_subset(manifest, {"train": 20, "val": 5})).count() == 0
+
+
+def test_samples_are_exact_with_repeated_and_null_keys(rows):
+    data = [(f"n{i % 50}", i) for i in range(400)] + [(None, i) for i in range(200)] + [("hot", 7)] * 300
+    table = rows(data, "note_id string, x int").repartition(7)
+    for n in (0, 1, 37, 299, 450, 899, 900, 2000):
+        got = cu.sample_fixed_n(table, n, seed=1)
+        assert got.columns == ["note_id", "x"]
+        drawn = [tuple(r) for r in got.collect()]
+        assert len(drawn) == min(n, 900)
+        left = sorted(data, key=repr)
+        for r in drawn:  # no row more often than it is there
+            left.remove(r)
+        again = cu.sample_fixed_n(table.repartition(3), n, seed=1).collect()
+        assert sorted(map(repr, drawn)) == sorted(repr(tuple(r)) for r in again)
+    nulls = sum(r.note_id is None for r in cu.sample_fixed_n(table, 899, seed=1).collect())
+    assert nulls >= 199
+
+
+def test_split_subset_of_repeated_keys(rows):
+    manifest = rows([(5, "train")] * 40 + [(None, "train")] * 40 + [(i, "val") for i in range(9)] + [(1, None)], "hadm_id long, split string")
+    got = cu.sample_split_subset(manifest, {"train": 55, "val": 20})
+    assert {r.split: r["count"] for r in got.groupBy("split").count().collect()} == {"train": 55, "val": 9}
+
+
+def test_rows_without_subject_stay_together(rows):
+    data = [(h, h % 20) for h in range(100)] + [(1000 + h, None) for h in range(30)]
+    manifest = sp.patient_split(rows(data, "hadm_id long, subject_id long"), 0.5, 0.25, 0.25)
+    assert manifest.filter("split IS NULL").count() == 0 and manifest.count() == 130
+    assert manifest.filter("subject_id IS NULL").select("split").distinct().count() == 1
+    assert sp.split_disjoint_check(manifest).count() == 0
+    assert sum(r.n_patients for r in sp.split_counts(manifest).collect()) == 21

@@ -153,3 +153,31 @@ def test_aligned_scores_fill_zeros(spark):
     truth = spark.createDataFrame([(1, "A"), (1, "A"), (9, "B")], "hadm_id long, icd_code string")
     got = {(r.hadm_id, r.icd_code): r.y for r in sc.join_pred_truth(pred, truth).collect()}
     assert got == {(1, "A"): 1, (1, "B"): 0, (2, "A"): 0}
+
+
+def test_cells_of_a_label_without_threshold_fail(spark, sample):
+    _, _, scored = sample
+    two = spark.createDataFrame([("L0", 0.5), ("L1", 0.5)], "icd_code string, threshold double")
+    with pytest.raises(Exception, match="no threshold for label L2"):
+        sc.threshold_predict(scored, two).collect()
+
+
+def test_metrics_of_one_side_and_gates_without_metric_stay(spark):
+    rows = "metric string, value double"
+    val = spark.createDataFrame([("micro_f1", 0.6), ("only_val", 0.1), ("macro_f1", None)], rows)
+    test = spark.createDataFrame([("micro_f1", 0.5), ("only_test", 0.2)], rows)
+    got = {r.metric: (r.val, r.test, r.drift) for r in mx.split_drift(val, test).collect()}
+    assert got["only_val"] == (0.1, None, None) and got["only_test"] == (None, 0.2, None)
+    assert got["micro_f1"][2] == pytest.approx(0.1) and set(got) == {"micro_f1", "macro_f1", "only_val", "only_test"}
+    gates = {r.metric: (r.value, r.meets_target, r.meets_floor) for r in mx.metric_gates(val).collect()}
+    assert gates == {
+        "micro_f1": (0.6, False, True), "macro_f1": (None, False, False),
+        "p_at_5": (None, False, True), "p_at_8": (None, False, True),
+    }
+
+
+def test_undefined_metrics_are_null_rows(spark):
+    y, p = np.zeros((6, 2), int), np.linspace(0, 1, 12).reshape(6, 2)
+    cuts = spark.createDataFrame([("L0", 0.5), ("L1", 0.5)], "icd_code string, threshold double")
+    got = {r.metric: r.value for r in mx.evaluate_multilabel(wide(table(spark, y, p)), cuts, 2, (1,)).collect()}
+    assert got["micro_auc"] is None and got["macro_auc"] is None and got["micro_f1"] == 0.0 and got["p_at_1"] == 0.0

@@ -107,18 +107,92 @@ def test_reports(spark, run):
     assert los.mean == pytest.approx(4.0)
 
 
-def test_both_scorers_agree(spark, run):
+def dense(features, size):
+    rows = {r.hadm_id: np.zeros(size) for r in features}
+    for r in features:
+        for f in r.features:
+            rows[r.hadm_id][f.term_idx] = f.weight
+    return rows
+
+
+@pytest.mark.parametrize("pass_bytes", [256 << 20, 5 * 8 * 7, 1])
+def test_scores_in_passes_equal_the_product(spark, run, monkeypatch, pass_bytes):
     stages, _ = run
     model, idf = md.load_model(spark, stages)
-    terms = st.read_stage(spark, stages.gold("terms"), "train").drop("split")
+    terms = st.read_stage(spark, stages.gold("terms"), "train").drop("split").limit(12)
+    idf = idf.filter("term_idx < 20")
+    model = model.withColumn("coefficients", F.slice("coefficients", 1, 20))
     empty = spark.createDataFrame([(0, [])], terms.schema)
-    features = fx.tfidf(terms.unionByName(empty), fx.small_vocabulary(idf))
-    a = md._proba_by_broadcast(features, model).select("hadm_id", F.inline("scores"))
-    b = md._proba_by_join(features, model)
-    b = b.select("hadm_id", F.inline("scores").alias("icd_code", "other"))
-    both = a.join(b, ["hadm_id", "icd_code"]).collect()
-    assert len(both) == 5 * features.count()
-    assert max(abs(r.prob - r.other) for r in both) < 1e-9
+    features = fx.tfidf(terms.unionByName(empty), idf)
+    monkeypatch.setattr(md, "PASS_BYTES", pass_bytes)
+    got = {r.hadm_id: {s.icd_code: s.prob for s in r.scores} for r in md.predict_proba(features, model, 20).collect()}
+    rows = dense(features.collect(), 20)
+    assert set(got) == set(rows) and 0 in got
+    for r in model.collect():
+        for key, x in rows.items():
+            want = 1 / (1 + np.exp(-(x @ np.array(r.coefficients) + r.intercept)))
+            assert got[key][r.icd_code] == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("class_weight", [None, "balanced"])
+def test_joint_fit_agrees_with_single_fits(spark, monkeypatch, class_weight):
+    from pyspark.ml.classification import LogisticRegression
+
+    draw = np.random.default_rng(3)
+    n, size, width = 200, 30, 4
+    x = draw.random((n, size)) * (draw.random((n, size)) < 0.2)
+    x[5] = 0
+    true = draw.normal(size=(size, width)) * 3
+    y = (x @ true + draw.normal(size=(n, width)) > 0.8).astype(int)
+    features = spark.createDataFrame(
+        [(i, [(j, float(v)) for j, v in enumerate(row) if v]) for i, row in enumerate(x)],
+        "hadm_id long, features array<struct<term_idx:int,weight:double>>",
+    ).repartition(3)
+    vectors = spark.createDataFrame([(i, row) for i, row in enumerate(y.tolist())], "hadm_id long, y array<int>")
+    labels = spark.createDataFrame([(k, f"L{k}") for k in range(width)], "label_idx int, icd_code string")
+    params = ModelParams(c=2.0, class_weight=class_weight, tol=1e-7)
+    scans = []
+    at = md._Losses.at
+    monkeypatch.setattr(md._Losses, "at", lambda self, chosen, points: scans.append(len(chosen)) or at(self, chosen, points))
+    monkeypatch.setattr(md, "BLOCK_CELLS", 500)
+    monkeypatch.setattr(md, "PRODUCT_CELLS", 700)
+    monkeypatch.setattr(md, "RANGE_CELLS", 64)
+    model = md.fit_ovr_logistic(features, vectors, labels, size, params).orderBy("label_idx").collect()
+    assert scans[0] == width and len(scans) < 150  # all labels in each scan
+    vec = fx.assemble_sparse_vectors(features.join(vectors, "hadm_id"), size)
+    for k, got in enumerate(model):
+        pos = int(y[:, k].sum())
+        weight = F.when(F.col("y")[k] == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))
+        rows = vec.select("features", F.col("y")[k].cast("double").alias("label"), (weight if class_weight else F.lit(1.0)).alias("w"))
+        single = LogisticRegression(
+            maxIter=500, tol=1e-12, regParam=1.0 / (2.0 * n), standardization=False, weightCol="w"
+        ).fit(rows)
+        assert got.icd_code == f"L{k}"
+        assert np.allclose(got.coefficients, single.coefficients.toArray(), atol=2e-4)
+        assert got.intercept == pytest.approx(single.intercept, abs=2e-4)
+    if class_weight:
+        return
+    monkeypatch.setattr(md, "STATE_BYTES", 1)  # one label after the other
+    again = md.fit_ovr_logistic(features, vectors, labels, size, params).orderBy("label_idx").collect()
+    assert all(np.allclose(a.coefficients, b.coefficients, atol=1e-4) for a, b in zip(model, again))
+
+
+def test_dictionary_finds_all_terms(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(fx, "BLOCK_TERMS", 7)
+    monkeypatch.setattr(fx, "DECODED_BLOCKS", 3)
+    draw = random.Random(2)
+    terms = sorted({"".join(draw.choice("ab é\U0001d400z") for _ in range(draw.randrange(1, 9))) for _ in range(400)})
+    idf = spark.createDataFrame([(i, t, i / 7) for i, t in enumerate(terms)], "term_idx int, term string, idf double")
+    known = fx.term_dictionary(idf.repartition(4))
+    asked = sorted({*terms, "", "zzzzzzzzzzz", *(t + "b" for t in terms)})
+    numbers, weights = known.search(asked)
+    place = {t: i for i, t in enumerate(terms)}
+    assert numbers.tolist() == [place.get(t, -1) for t in asked]
+    assert weights.tolist() == [place[t] / 7 if t in place else 0.0 for t in asked]
+    nothing = fx.term_dictionary(idf.limit(0)).search(["a"])
+    assert nothing[0].tolist() == [-1]
 
 
 def test_tfidf_brute_force(spark):
@@ -152,6 +226,7 @@ def test_constant_labels(spark):
 @pytest.mark.parametrize("bad", [
     lambda: CohortParams(code_version=8), lambda: CohortParams(top_k=0), lambda: SplitParams(train=1.0),
     lambda: FeatureParams(ngram_range=(2, 1)), lambda: ModelParams(c=0), lambda: ModelParams(class_weight="x"),
+    lambda: ModelParams(tol=0), lambda: ModelParams(max_iter=0),
 ])
 def test_parameter_ranges(bad):
     with pytest.raises(ValueError):
@@ -166,3 +241,14 @@ def test_training_refuses_foreign_labels(spark, run):
     lb.check_alignment(cohort, cells, dense=False)
     with pytest.raises(StageError, match="rebuild"):
         lb.check_alignment(cohort.filter("hadm_id > 1010"), cells, dense=False)
+
+
+def test_k_above_the_label_count_is_an_error(spark, run):
+    from dataclasses import replace
+
+    from cohortloom.errors import MetricError
+
+    stages, _ = run
+    with pytest.raises(MetricError, match="outside"):
+        ps.run_evaluate_test(spark, replace(PARAMS, evaluation=EvalParams(k_list=(1, 6))), stages)
+    ps.run_evaluate_test(spark, PARAMS, stages)

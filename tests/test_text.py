@@ -51,6 +51,20 @@ def test_words_match_the_unicode_definition(spark):
     assert one(spark, TEXTS, tx.tokenize_words) == [py_words(t) for t in TEXTS]
 
 
+def test_words_of_every_character(spark):
+    assigned = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    # marks of one word each: folding must not depend on the neighbours
+    texts = ["".join(f"x{c}y " for c in assigned[i : i + 500]) for i in range(0, len(assigned), 500)]
+
+    def folded(text):
+        low = unicodedata.normalize("NFKD", text)
+        return "".join(c for c in low if not unicodedata.combining(c))
+
+    got = one(spark, texts, tx.fold_accents)
+    wrong = [(t, g) for t, g in zip(texts, got) if g != folded(t)]
+    assert not wrong, [(a, b) for t, g in wrong[:1] for a, b in zip(folded(t).split(" "), g.split(" ")) if a != b][:5]
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.text(alphabet=st.characters(max_codepoint=0x24F), max_size=60), min_size=1, max_size=8))
 def test_text_properties(spark, texts):
