@@ -11,7 +11,9 @@ from cohortloom.operators import scores as sc
 from cohortloom.operators.curate import sample_order
 from cohortloom.functions.numbers import age_bucket
 from cohortloom.functions.text import token_length
+from cohortloom.session import fresh_path
 from cohortloom.sources.views import LABELS
+from cohortloom.streaming import jobs
 
 K_LIST = (1, 3, 5)
 N = len(LABELS)
@@ -386,3 +388,41 @@ def _(t):
 
     counts = drift_counts(windowed_counts(t.base("events"), "event_type"), _DAY_SPLIT, "event_type")
     return _round(dr.drift_report(counts), "psi")
+
+
+# Three arrivals of the events; the last one brings every 40th event of all days. A row is late once the
+# watermark that closed windows in the batch before has passed its window.
+_ARRIVALS, _REFERENCE_END = ("2024-01-12 12:00:00", "2024-01-18 12:00:00"), "2024-01-06"
+_ARRIVAL = (
+    f"CASE WHEN event_id % 40 = 0 OR ts >= TIMESTAMP '{_ARRIVALS[1]}' THEN 2 "
+    f"WHEN ts >= TIMESTAMP '{_ARRIVALS[0]}' THEN 1 ELSE 0 END"
+)
+
+
+@query(
+    "stream_drift_windows",
+    f"""WITH arrived AS (SELECT *, {_ARRIVAL} AS nth, date_trunc('day', ts) AS day FROM events),
+      seen AS (SELECT * FROM arrived WHERE nth < 2 OR day + INTERVAL 1 DAY >
+        (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM arrived WHERE nth = 0)),
+      closed AS (SELECT day, event_type AS bin, count(*) AS n FROM seen
+        WHERE day + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2),
+      ref AS (SELECT event_type AS bin, count(*) / sum(count(*)) OVER () AS r FROM events
+        WHERE ts < TIMESTAMP '{_REFERENCE_END}' GROUP BY 1),
+      grid AS (SELECT day, bin, greatest(coalesce(r, 0), 1e-6) AS r FROM (SELECT DISTINCT day FROM closed)
+        CROSS JOIN (SELECT bin FROM ref UNION SELECT bin FROM closed) LEFT JOIN ref USING (bin)),
+      shares AS (SELECT day, bin, r, coalesce(n, 0) AS n, greatest(coalesce(n, 0) / sum(n) OVER (PARTITION BY day), 1e-6) AS c
+        FROM grid LEFT JOIN closed USING (day, bin))
+      SELECT day AS window_start, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_bins, round(sum((c - r) * ln(c / r)), 9) AS psi
+      FROM shares GROUP BY day""",
+)
+def _(t):
+    # the files of a folder are arrivals, in the order they were written
+    events = t.base("events").withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
+    folder = fresh_path(t.spark, "arrivals")
+    for nth in range(3):
+        part = events.filter(F.expr(_ARRIVAL) == nth).select("ts", "event_type")
+        part.coalesce(1).write.parquet(f"{folder}/arrival={nth}")
+    kept = events.filter(F.col("ts") < F.lit(_REFERENCE_END).cast("timestamp"))
+    shares = jobs.reference_shares(kept.groupBy(F.col("event_type").alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+    stream = jobs.read_files(t.spark, f"{folder}/arrival=*", events.select("ts", "event_type").schema, files_per_batch=1)
+    return _round(jobs.drain(jobs.stream_drift(stream, "event_type", shares), "drift-stream"), "psi")

@@ -61,17 +61,41 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFr
     return numbered.drop("_one")
 
 
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """How often each value of some columns occurs, ``(metric, v, n)``; nulls do not count.
+
+    Written down, since everything about the distributions is read off it: one scan of ``df`` serves all.
+    """
+    named = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns]
+    values = df.select(F.inline(F.array(*named))).filter(F.col("v").isNotNull())
+    return cut_lineage(values.groupBy("metric", "v").agg(F.count(F.lit(1)).alias("n")), "value-counts")
+
+
+def moments_of(counts: DataFrame) -> DataFrame:
+    """Minimum, maximum, mean and deviation per metric of ``value_counts``."""
+    total = F.sum("n")
+    sums = counts.groupBy("metric").agg(
+        F.min("v").alias("min"), F.max("v").alias("max"), total.alias("_n"), (F.sum(F.col("v") * F.col("n")) / total).alias("mean")
+    )
+    off = F.col("v") - F.col("mean")
+    squares = counts.join(sums, "metric").groupBy("metric").agg(F.sum(F.col("n") * off * off).alias("_s"))
+    spare = F.when(F.col("_n") > 1, F.col("_n") - 1)
+    return sums.join(squares, "metric").select("metric", "min", "max", "mean", F.sqrt(F.col("_s") / spare).alias("std"))
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], quantiles: Sequence[float]
 ) -> DataFrame:
-    """Linearly interpolated quantiles: one row per column, one field ``q0, q1, ...`` per quantile.
+    """Linearly interpolated quantiles: one row per column, one field ``q0, q1, ...`` per quantile."""
+    return quantiles_of(value_counts(df, columns), quantiles)
+
 
-    The values are merged to (value, count) first; the quantile of position ``h = q * (n - 1)`` lies
-    between the values at ranks ``floor(h)`` and ``ceil(h)``. Nulls do not count.
+def quantiles_of(counts: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+    """Quantiles per metric of ``value_counts``.
+
+    The quantile of position ``h = q * (n - 1)`` lies between the values at ranks ``floor(h)`` and
+    ``ceil(h)``.
     """
-    named = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns]
-    values = df.select(F.inline(F.array(*named))).filter(F.col("v").isNotNull())
-    counts = values.groupBy("metric", "v").agg(F.count(F.lit(1)).alias("n"))
     placed = running_sums(
         counts, [F.col("v").asc()], {"n": "upto"}, by=["metric"], totals={"n": "total"}
     )

@@ -27,7 +27,7 @@ from cohortloom.functions.numbers import (
 from cohortloom.functions.text import char_length, count_deid_markers, token_length
 from cohortloom.operators import coverage
 from cohortloom.operators.curate import dedup_dictionary, filter_code_version, sample_fixed_n
-from cohortloom.operators.ordered import exact_quantiles, quantile_row, ranked
+from cohortloom.operators.ordered import moments_of, quantile_row, quantiles_of, ranked, value_counts
 from cohortloom.operators.tables import restrict, rows_of, top
 from cohortloom.session import cut_lineage, small_side
 
@@ -129,65 +129,29 @@ def length_percentiles(
 ) -> DataFrame:
     """Minimum, quantiles, maximum, mean and deviation of both lengths, one row per statistic."""
     metrics = ["n_tokens", "n_chars"]
-    moments = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp}
-    plain = lengths.agg(
-        *[fn(m).cast("double").alias(f"{m}_{s}") for m in metrics for s, fn in moments.items()]
-    )
-    moment_rows = plain.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(s).alias("pct"), *[F.col(f"{m}_{s}").alias(m) for m in metrics])
-                    for s in moments
-                ]
-            )
-        )
-    )
-    names = [f"p{int(q * 100):02d}" for q in quantiles]
-    found = exact_quantiles(lengths, metrics, quantiles)
+    counts = value_counts(lengths, metrics)
+    found = moments_of(counts).join(quantiles_of(counts, quantiles), "metric")
+    names = {f"p{int(q * 100):02d}": f"q{i}" for i, q in enumerate(quantiles)}
+    cells = {name: name for name in ("min", "max", "mean", "std")} | names
     tall = found.select(
         "metric",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("pct"), F.col(f"q{i}").alias("value"))
-                    for i, n in enumerate(names)
-                ]
-            )
-        ),
+        F.inline(F.array(*[F.struct(F.lit(n).alias("pct"), F.col(c).alias("value")) for n, c in cells.items()])),
     )
-    wide = tall.groupBy("pct").pivot("metric", metrics).agg(F.first("value"))
-    return moment_rows.unionByName(wide)
+    return tall.groupBy("pct").pivot("metric", metrics).agg(F.first("value"))
 
 
 def truncation_impact(lengths: DataFrame, caps: Sequence[int] = TOKEN_CAPS) -> DataFrame:
     """Notes longer than each token cap, and the median of what the cap cuts off."""
-    tokens = F.col("n_tokens")
-    over = [F.when(tokens > cap, tokens - cap).alias(f"over_{cap}") for cap in caps]
-    excess = lengths.select(tokens, *over)
-    counts = excess.agg(
-        F.count(F.lit(1)).alias("n_total"),
-        *[F.count(f"over_{cap}").alias(f"over_{cap}") for cap in caps],
-    )
-    per_cap = counts.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(cap).alias("max_tokens"),
-                        F.col("n_total"),
-                        F.col(f"over_{cap}").alias("n_exceeds"),
-                    )
-                    for cap in caps
-                ]
-            )
-        )
-    )
-    medians = exact_quantiles(excess, [f"over_{cap}" for cap in caps], [0.5])
-    medians = medians.select(
-        F.regexp_extract("metric", r"over_(\d+)", 1).cast("int").alias("max_tokens"),
-        F.col("q0").alias("median_excess"),
+    counts = cut_lineage(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")), "token-counts")
+    over = F.col("n_tokens") - F.col("max_tokens")
+    # every cap sees the merged counts, not the notes
+    capped = counts.select("n_tokens", "n", F.explode(F.array(*[F.lit(cap) for cap in caps])).alias("max_tokens"))
+    per_cap = capped.groupBy("max_tokens").agg(
+        F.sum("n").alias("n_total"), F.coalesce(F.sum(F.when(over > 0, F.col("n"))), F.lit(0)).alias("n_exceeds")
     )
+    exceeding = capped.filter(over > 0).select(F.col("max_tokens").alias("metric"), over.cast("double").alias("v"), "n")
+    medians = quantiles_of(exceeding, [0.5])
+    medians = medians.select(F.col("metric").alias("max_tokens"), F.col("q0").alias("median_excess"))
     joined = per_cap.join(small_side(medians), "max_tokens", "left")
     return joined.select(
         "max_tokens",
@@ -198,23 +162,37 @@ def truncation_impact(lengths: DataFrame, caps: Sequence[int] = TOKEN_CAPS) -> D
     )
 
 
-def deid_marker_stats(notes: DataFrame, sample_size: int | None = None, seed: int = 0) -> DataFrame:
-    """How dense redaction markers are, per note and per unit of text."""
-    drawn = sample_fixed_n(notes, sample_size, seed)
+def marker_counts(notes: DataFrame) -> DataFrame:
+    """Redaction markers, characters and tokens of each note, ``(markers, n_chars, n_tokens)``."""
     text = F.col("text")
-    counted = drawn.select(
+    return notes.select(
         count_deid_markers(text).cast("bigint").alias("markers"),
-        char_length(text).cast("bigint").alias("chars"),
-        token_length(text).cast("bigint").alias("tokens"),
+        char_length(text).cast("bigint").alias("n_chars"),
+        token_length(text).cast("bigint").alias("n_tokens"),
+    )
+
+
+def deid_marker_stats(notes: DataFrame, sample_size: int | None = None, seed: int = 0) -> DataFrame:
+    """How dense redaction markers are, per note and per unit of text; of all notes, or of a sample."""
+    return marker_stats_of(marker_counts(sample_fixed_n(notes, sample_size, seed)))
+
+
+def marker_stats_of(measured: DataFrame) -> DataFrame:
+    """``deid_marker_stats`` of measured notes, read once and merged by number of markers."""
+    n, markers = F.col("n"), F.col("markers")
+    merged = measured.groupBy("markers").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.sum("n_tokens").alias("tokens")
     )
-    sums = counted.agg(
-        F.count(F.lit(1)).alias("sample_size"),
-        F.coalesce(F.sum("markers"), F.lit(0)).alias("total_markers"),
-        F.avg("markers").alias("mean_markers_per_note"),
+    merged = cut_lineage(merged, "marker-counts")
+    sums = merged.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("sample_size"),
+        F.coalesce(F.sum(markers * n), F.lit(0)).alias("total_markers"),
+        F.try_divide(F.sum(markers * n), F.sum(n)).alias("mean_markers_per_note"),
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("_tokens"),
         F.coalesce(F.sum("chars"), F.lit(0)).alias("_chars"),
     )
-    sums = _one_row([sums, quantile_row(counted, "markers", {"median_markers_per_note": 0.5})])
+    values = merged.select(F.lit("markers").alias("metric"), markers.cast("double").alias("v"), "n")
+    sums = _one_row([sums, quantiles_of(values, [0.5]).select(F.col("q0").alias("median_markers_per_note"))])
 
     def per(unit: int, total: str) -> Column:
         return F.col("total_markers") / F.greatest(F.col(total) / F.lit(float(unit)), F.lit(1.0))

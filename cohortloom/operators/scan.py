@@ -27,6 +27,9 @@ MIN_WORDS_PER_LINE = 12
 MAX_PADDING_PER_1000 = 2
 MIN_SENTENCE_BREAKS = 4
 
+# Number of the finding that no pattern makes; those of the patterns start at 1.
+PROSE_RULE = 0
+
 
 def _fires(text: Column, pattern: str) -> Column:
     """Whether a pattern matches; most texts are ruled out by a plain search in ``_low``."""
@@ -63,61 +66,87 @@ def phi_scan(
 ) -> DataFrame:
     """At most one finding per rule and text, the first match.
 
-    Only rules for the given location and kind of text are tried. The text stays behind: a finding
-    carries nothing but its redacted surroundings.
+    Only rules for the given location and kind of text are tried. An output that reads like the body of a
+    note is a finding as a whole. The text stays behind: a finding carries nothing but its redacted
+    surroundings.
     """
     tried = [
         r for r in (phi_rules() if rules is None else rules)
         if location in r.locations and kind in r.kinds
     ]
     text = F.col("text")
-    hits = F.filter(F.array(*[_finding(text, r, window) for r in tried]), lambda f: f.isNotNull())
-    # the outer form keeps the optimizer from evaluating all rules a second time to test for none
+    findings = [_finding(text, r, window) for r in tried]
     low = computed_once(docs.select(key, "text"), _low=caseless(text))
+    if location == "output":
+        # only long texts are measured; each measure once
+        measures = F.struct(*[m.alias(name) for name, m in _prose_measures(text).items()])
+        low = computed_once(low, _prose=F.when(F.length(text) >= MIN_PROSE_CHARS, measures))
+        findings.append(_prose_finding(text, F.col("_prose")))
+    hits = F.filter(F.array(*findings), lambda f: f.isNotNull())
+    # the outer form keeps the optimizer from evaluating all rules a second time to test for none
     found = low.select(key, hits.alias("_hits")).select(key, F.inline_outer("_hits"))
     return found.filter(F.col("rule_id").isNotNull())
 
 
-def clinical_prose_flag(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Whether a text reads like the body of a clinical note, with the measures behind it."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def _prose_measures(text: Column) -> dict[str, Column]:
+    """What tells running clinical prose from tables and lists."""
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(NOT_SPACE))
     words = F.aggregate(
         lines, F.lit(0), lambda acc, line: acc + F.regexp_count(line, F.lit(NOT_SPACE))
     )
-    measured = docs.select(
-        key,
-        F.length(text).alias("n_chars"),
-        F.regexp_count(text, F.lit("(?iU)" + CLINICAL_WORDS)).alias("vocab_hits"),
-        F.size(lines).alias("n_lines"),
-        words.alias("n_words"),
-        F.regexp_count(text, F.lit("   +")).alias("paddings"),
-        F.regexp_count(text, F.lit(r"(?U)[.!?]\s+[A-Z]")).alias("sentence_breaks"),
-    )
-    per_line = F.col("n_words") / F.when(F.col("n_lines") > 0, F.col("n_lines"))
-    dense = F.col("paddings") / F.greatest("n_chars", F.lit(1)) * 1000 <= MAX_PADDING_PER_1000
-    prose = (
-        (F.col("n_chars") >= MIN_PROSE_CHARS)
-        & (F.col("vocab_hits") >= MIN_PROSE_WORDS)
+    return {
+        "n_chars": F.length(text),
+        "vocab_hits": F.regexp_count(text, F.lit("(?iU)" + CLINICAL_WORDS)),
+        "n_lines": F.size(lines),
+        "n_words": words,
+        "paddings": F.regexp_count(text, F.lit("   +")),
+        "sentence_breaks": F.regexp_count(text, F.lit(r"(?U)[.!?]\s+[A-Z]")),
+    }
+
+
+def _is_prose(m: dict[str, Column]) -> Column:
+    per_line = m["n_words"] / F.when(m["n_lines"] > 0, m["n_lines"])
+    dense = m["paddings"] / F.greatest(m["n_chars"], F.lit(1)) * 1000 <= MAX_PADDING_PER_1000
+    return (
+        (m["n_chars"] >= MIN_PROSE_CHARS)
+        & (m["vocab_hits"] >= MIN_PROSE_WORDS)
         & F.coalesce(per_line >= MIN_WORDS_PER_LINE, F.lit(True))
         & dense
-        & (F.col("sentence_breaks") >= MIN_SENTENCE_BREAKS)
+        & (m["sentence_breaks"] >= MIN_SENTENCE_BREAKS)
     )
-    return measured.withColumn("is_prose", prose)
 
 
-def prose_findings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Texts that read like a note body, as findings of their own category."""
-    flagged = clinical_prose_flag(docs, key).filter("is_prose")
-    return flagged.select(
-        key,
-        F.lit("long_clinical_prose").alias("category"),
-        F.lit("HIGH").alias("severity"),
-        "n_chars",
-        "vocab_hits",
+def _prose_finding(text: Column, m: Column) -> Column:
+    """The finding of a text that reads like a note body: the whole text, described by two numbers."""
+    said = F.concat(
+        m["n_chars"].cast("string"), F.lit(" characters with "), m["vocab_hits"].cast("string"),
+        F.lit(" clinical terms in running sentences"),
+    )
+    return F.when(
+        _is_prose({name: m[name] for name in _prose_measures(text)}),
+        F.struct(
+            F.lit(PROSE_RULE).alias("rule_id"),
+            F.lit("long_clinical_prose").alias("category"),
+            F.lit("HIGH").alias("severity"),
+            F.lit(1).alias("start"),
+            m["n_chars"].alias("length"),
+            said.alias("context"),
+        ),
     )
 
 
+def clinical_prose_flag(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Whether a text reads like the body of a clinical note, with the measures behind it."""
+    measures = _prose_measures(F.coalesce(F.col("text"), F.lit("")))
+    measured = docs.select(key, *[m.alias(name) for name, m in measures.items()])
+    return measured.withColumn("is_prose", _is_prose({name: F.col(name) for name in measures}))
+
+
+def prose_findings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Texts that read like a note body, as ``phi_scan`` reports them."""
+    return phi_scan(docs, rules=(), key=key)
+
+
 def phi_summary(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     """Findings and texts per severity; no row at all means the scan passed."""
     per_text = findings.groupBy("severity", key).agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import coverage as cv
 from cohortloom.operators import profile as pf
-from cohortloom.operators.curate import compute_lengths
 from cohortloom.operators.labels import label_cooccurrence
 from cohortloom.session import cut_lineage, spread
 from cohortloom.sources.stages import StagePaths, read_stage, write_stage
@@ -27,8 +26,8 @@ def profile_tables(
     }
     if dictionary is not None:
         tables["icd_diagnoses"] = dictionary
-    # the texts are measured once; the reports below read two numbers per note
-    lengths = cut_lineage(compute_lengths(spread(notes)).select("n_tokens", "n_chars"), "lengths")
+    # the texts are measured once; the reports below read three numbers per note
+    lengths = cut_lineage(pf.marker_counts(spread(notes)), "lengths")
     per_admission = pf.codes_per_admission(diagnoses, version)
     per_patient = pf.admissions_per_patient(admissions)
     at_version = diagnoses.filter(F.col("icd_version") == version)
@@ -46,7 +45,7 @@ def profile_tables(
         "length_percentiles": pf.length_percentiles(lengths),
         "truncation": pf.truncation_impact(lengths),
         "length_histogram": pf.equal_width_histogram(lengths, "n_tokens"),
-        "deid_markers": pf.deid_marker_stats(notes),
+        "deid_markers": pf.marker_stats_of(lengths),
         "duplication": pf.note_duplication_summary(notes),
         "versions": pf.icd_version_distribution(diagnoses),
         "versions_by_year": by_year,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,45 +22,64 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(found)
 
 
-def _header_of(spark: SparkSession, path: str) -> list[str]:
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Data files that a path, folder or glob names, in name order."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for status in system.globStatus(where):
+        inside = system.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [s.getPath() for s in inside if s.isFile()]
+    return sorted(p.toString() for p in found if not p.getName().startswith(("_", ".")))
+
+
+def _header_of(spark: SparkSession, path: str) -> tuple[str, ...]:
     first = spark.read.text(path).first()
     if first is None:
         raise SourceError(f"empty raw file: {path}")
-    return [name.strip().strip('"') for name in first[0].lstrip("\ufeff").split(",")]
+    return tuple(name.strip().strip('"').lower() for name in first[0].lstrip("\ufeff").split(","))
 
 
-def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_raw_csv(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
+) -> DataFrame:
     """Read the columns of ``schema`` from CSV files with a header, names lower-cased.
 
-    Columns are found by header name, others are not parsed. An unparsable typed value fails the
-    read instead of turning into null.
+    Columns are found by the header of each file, others are not parsed; files whose columns stand in
+    another order are read by their own. An unparsable typed value fails the read instead of turning into
+    null. ``multi_line`` is for quoted text that spans lines; without it a plain file is read in parts.
     """
     if not path_exists(spark, path):
         raise SourceError(f"missing raw file: {path}")
+    kinds = {f.name: f.dataType for f in schema.fields}
+    parts = []
     try:
-        header = _header_of(spark, path)
-        kinds = {f.name: f.dataType for f in schema.fields}
-        lowered = [name.lower() for name in header]
-        absent = [name for name in kinds if name not in lowered]
-        if absent:
-            raise SourceError(f"{path} has no column {', '.join(absent)}")
-        file_schema = T.StructType(
-            [T.StructField(name, kinds.get(name, T.StringType()), True) for name in lowered]
-        )
-        raw = (
-            spark.read.schema(file_schema)
-            .option("header", True)
-            .option("enforceSchema", True)
-            .option("multiLine", True)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("mode", "FAILFAST")
-            .csv(path)
-        )
+        by_header: dict[tuple[str, ...], list[str]] = {}
+        for file in _files(spark, path):
+            by_header.setdefault(_header_of(spark, file), []).append(file)
+        if not by_header:
+            raise SourceError(f"no raw file in {path}")
+        for header, files in by_header.items():
+            absent = [name for name in kinds if name not in header]
+            if absent:
+                raise SourceError(f"{files[0]} has no column {', '.join(absent)}")
+            own = [T.StructField(name, kinds.get(name, T.StringType()), True) for name in header]
+            raw = (
+                spark.read.schema(T.StructType(own))
+                .option("header", True)
+                .option("enforceSchema", True)
+                .option("multiLine", multi_line)
+                .option("quote", '"')
+                .option("escape", '"')
+                .option("mode", "FAILFAST")
+                .csv(files)
+            )
+            parts.append(raw.select(*[F.col(f.name) for f in schema.fields]))
     except PySparkException as broken:
         raise SourceError(f"cannot read {path}") from broken
     # One compressed file is one task; everything after this line runs on all cores.
-    return spread(raw.select(*[F.col(f.name) for f in schema.fields]))
+    return spread(reduce(DataFrame.unionByName, parts))
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
@@ -66,17 +87,19 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_diagnoses(spark: SparkSession, path: str) -> DataFrame:
-    return read_raw_csv(spark, path, schemas.DIAGNOSES)
+    return read_raw_csv(spark, path, schemas.DIAGNOSES, multi_line=False)
 
 
 def read_admissions(spark: SparkSession, path: str) -> DataFrame:
-    return read_raw_csv(spark, path, schemas.ADMISSIONS)
+    return read_raw_csv(spark, path, schemas.ADMISSIONS, multi_line=False)
 
 
 def read_patients(spark: SparkSession, path: str) -> DataFrame:
-    return read_raw_csv(spark, path, schemas.PATIENTS)
+    return read_raw_csv(spark, path, schemas.PATIENTS, multi_line=False)
 
 
 def read_code_dictionary(spark: SparkSession, path: str | None) -> DataFrame | None:
     """The optional code dictionary; no path, no table."""
-    return None if path is None else read_raw_csv(spark, path, schemas.CODE_DICTIONARY)
+    return None if path is None else read_raw_csv(
+        spark, path, schemas.CODE_DICTIONARY, multi_line=False
+    )

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.errors import StageError
+from cohortloom.errors import SourceError, StageError
 from cohortloom.params import RawPaths
 from cohortloom.sources import raw
 
@@ -54,7 +56,10 @@ def bronze_ingest_stamp(df: DataFrame) -> DataFrame:
 def write_bronze(
     spark: SparkSession, paths: RawPaths, stages: StagePaths, stamp: bool = False
 ) -> list[str]:
-    """Mirror the raw tables as Parquet; returns the names of the tables written."""
+    """Mirror the raw tables as Parquet; returns the names of the tables written.
+
+    Values that cannot be read show while a table is written; they are the fault of its source.
+    """
     tables = {
         "discharge_notes": raw.read_notes(spark, paths.notes),
         "diagnoses_icd": raw.read_diagnoses(spark, paths.diagnoses),
@@ -64,7 +69,10 @@ def write_bronze(
     }
     present = {name: df for name, df in tables.items() if df is not None}
     for name, df in present.items():
-        write_stage(bronze_ingest_stamp(df) if stamp else df, stages.bronze(name))
+        try:
+            write_stage(bronze_ingest_stamp(df) if stamp else df, stages.bronze(name))
+        except (PySparkException, Py4JJavaError) as broken:
+            raise SourceError(f"cannot read the raw files of {name}") from broken
     return list(present)
 
 
