@@ -2,8 +2,9 @@
 
 Texts become sets of hashed word shingles. Equal sets are one class. A set's prefix under a global order
 holds its first ``n - ceil(t n) + 1`` tokens; two sets with similarity t share a prefix token under every
-order, so only pairs that meet under all orders are verified. All orders put the most frequent prefix
-tokens last, which changes which pairs are tried and never which are found.
+order, and up to the nearer end of their prefixes they differ by no more tokens than similar sets may.
+Pairs that pass both tests under all orders are verified. All orders put the most frequent prefix tokens
+last, which changes which pairs are tried and never which are found.
 
 Large groups: each prefix token first links its sets to one of them, drawn per token (as many tries as
 rows). Sets that verified links already join need no further pair, since only the component counts.
@@ -26,8 +27,13 @@ LATE_COUNT = 32  # prefix tokens of more sets than this go to the end of every o
 LATE_TOKENS = 200_000  # ... the most frequent first, up to so many (they are broadcast: 8 bytes each)
 ORDERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd multipliers, each giving an order
 
+# Words known at once in one Python worker, and ids that are broadcast at most (8 bytes each).
+CACHE_WORDS = 100_000
+BROADCAST_IDS = 1_000_000
+
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-_word_hash: dict[str, int] = {}
+_HIGH = np.uint64(1 << 63)
+_word_hash: dict[bytes, int] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -35,28 +41,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _lower(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
-
-
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
-_SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
-
-
-def words(text: str | None) -> list[str]:
-    """Lower-cased words between white space of the ASCII range."""
-    return [w for w in _lower(text).translate(_SPACES).split(" ") if w] if text else []
+def words(text: bytes | None) -> list[bytes]:
+    """Lower-cased words between white space of the ASCII range; bytes know no other letters or spaces."""
+    return text.lower().split() if text else []
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
+def shingles(text: bytes | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of all runs of ``size`` words; a shorter text is one run."""
     found = words(text)
     if not found:
         return np.zeros(0, np.uint64)
-    if len(_word_hash) > 400_000:
+    if len(_word_hash) > CACHE_WORDS:
         _word_hash.clear()
     for w in set(found).difference(_word_hash):
-        _word_hash[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        _word_hash[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_word_hash.__getitem__, found), np.uint64, len(found))
     run = min(size, len(h))
     out = np.full(len(h) - run + 1, run, np.uint64)
@@ -66,17 +64,20 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 
 def prefix(tokens: np.ndarray, order: int, percent: int, late: np.ndarray) -> np.ndarray:
-    """The first tokens of a set under an order, enough to meet every similar set."""
+    """Ascending ranks of the first tokens of a set under an order, enough to meet every similar set.
+
+    A rank stands for its token: 63 bits of a one-to-one product, above them one for late tokens. It is
+    shifted so that signed numbers keep the order.
+    """
     n = len(tokens)
-    length = n - -(-n * percent // 100) + 1
-    rank = tokens * np.uint64(order)
-    if len(late):
+    length = n - -(-n * percent // 100) + 1 if n else 0
+    rank = (tokens * np.uint64(order)) >> np.uint64(1)
+    if len(late) and n:
         at = np.minimum(np.searchsorted(late, tokens), len(late) - 1)
-        behind = late[at] == tokens
-        picked = np.lexsort((rank, behind))[:length]
-    else:
-        picked = np.argpartition(rank, length - 1)[:length]
-    return tokens[picked]
+        rank = np.where(late[at] == tokens, rank | _HIGH, rank)
+    if length < n:
+        rank = np.partition(rank, length - 1)[:length]
+    return (np.sort(rank) ^ _HIGH).view(np.int64)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -94,7 +95,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 def _slices(batch: pa.RecordBatch, rows: int = 256):
     for i in range(0, batch.num_rows, rows):
         part = batch.slice(i, rows)
-        yield part.column(0), part.column(1).to_pylist()
+        yield part.column(0), part.column(1).cast(pa.binary()).to_pylist()
 
 
 def _lists(sets: list[np.ndarray]) -> pa.Array:
@@ -111,10 +112,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, late) -> DataFrame:
         for batch in parts:
             for ids, values in _slices(batch):
                 sets = [shingles(t, size) for t in values]
-                firsts = [
-                    _lists([prefix(s, o, percent, behind).view(np.int64) if len(s) else s.view(np.int64) for s in sets])
-                    for o in ORDERS
-                ]
+                firsts = [_lists([prefix(s, o, percent, behind) for s in sets]) for o in ORDERS]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids,
@@ -128,20 +126,72 @@ def _prefixes(docs: DataFrame, size: int, percent: int, late) -> DataFrame:
     return docs.mapInArrow(make, "doc_id long, n long, digest binary, p0 array<long>, p1 array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(t): tokens of the prefixes of each set under all orders, each once a set."""
+
+    def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for _, values in _slices(batch):
+                out = []
+                for tokens in (shingles(t, size) for t in values):
+                    n = len(tokens)
+                    length = n - -(-n * percent // 100) + 1
+                    if length >= n:
+                        out.append(tokens)
+                        continue
+                    first = [np.argpartition(tokens * np.uint64(o), length - 1)[:length] for o in ORDERS]
+                    out.append(tokens[np.unique(np.concatenate(first))])
+                flat = np.concatenate(out).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat)], ["t"])
+
+    return docs.mapInArrow(make, "t long")
+
+
+def _among(df: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
+    """Rows whose id one of the written pairs names; the ids are broadcast up to a counted number."""
+    named = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias(column)).distinct(), "named")
+    return df.join(F.broadcast(named) if named.count() <= BROADCAST_IDS else named, column, "left_semi")
+
+
+def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose prefixes allow the similarity under every order, before any set is built.
+
+    Up to the smaller of the last ranks, both prefixes hold all that their sets hold; what differs there
+    differs in the sets. Similar sets differ by (1 - t) / (1 + t) of their sizes' sum at most.
+    """
+    some = _among(reps, "rep", pairs)
+    sides = [
+        some.select(F.col("rep").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("n", "p0", "p1")]) for c in "ab"
+    ]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    test = F.lit(True)
+    for p in ("p0", "p1"):
+        ends = [
+            F.when(F.size(f"{c}_{p}") < F.col(f"{c}_n"), F.element_at(f"{c}_{p}", -1)).otherwise(F.lit(2**63 - 1))
+            for c in "ab"
+        ]
+        cells = f"filter(a_{p}, x -> x <= l_{p})", f"filter(b_{p}, x -> x <= l_{p})"
+        both = both.withColumn(f"l_{p}", F.least(*ends))
+        shared = f"size(array_intersect({cells[0]}, {cells[1]}))"
+        differs = f"(size({cells[0]}) + size({cells[1]}) - 2 * {shared})"
+        test = test & F.expr(
+            f"arrays_overlap(a_{p}, b_{p}) and {differs} * {100 + percent} <= (a_n + b_n) * {100 - percent}"
+        )
+    return both.filter(test).select("a", "b")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of class ids whose sets reach the similarity; text is read for their members only."""
     pairs = cut_lineage(pairs, "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut_lineage(
-        _sets(docs.join(named, "doc_id", "left_semi"), size).dropDuplicates(["rep"]), "sets"
-    )
+    pairs = cut_lineage(_possible(pairs, reps, percent), "possible")
+    sets = cut_lineage(_sets(_among(docs, "doc_id", pairs), size), "sets")
     left = sets.select(F.col("rep").alias("a"), F.col("toks").alias("x"))
     right = sets.select(F.col("rep").alias("b"), F.col("toks").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(left, "a").join(right, "b")
         .filter(100 * both >= percent * (F.size("x") + F.size("y") - both))
-        .select("a", "b")
+        .select("a", "b").distinct()
     )
 
 
@@ -152,16 +202,13 @@ def linked(
 
     Sets link when 100 * intersection >= percent * union. Null, empty and blank texts have no shingle
     and link with nothing. Repeated rows give repeated, equal rows; a null id takes part in no link.
-    Ids are taken to be of one text each; other columns are ignored.
+    Ids are taken to be of one text each: an id with several texts links what any of them links. Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     base = texts(docs, id_col, text_col)
-    empty = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
-    # prefixes count once per distinct set and order
-    first = _prefixes(base, size, percent, empty)
-    tokens = first.filter("n > 0").select(F.explode(F.array_union("p0", "p1")).alias("t"))
     often = (
-        tokens.groupBy("t").count().filter(F.col("count") > LATE_COUNT)
+        _tokens(base, size, percent).groupBy("t").count().filter(F.col("count") > LATE_COUNT)
         .orderBy(F.desc("count"), "t").limit(LATE_TOKENS).select("t").toArrow()
     )
     late = np.sort(np.array(often.column("t").to_numpy(), np.int64).view(np.uint64))
@@ -191,7 +238,7 @@ def linked(
         entries[0].join(pivots, "t").filter((F.col("rep") != F.col("q")) & near(F.col("n"), F.col("m")))
         .select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b")).distinct()
     )
-    stars = cut_lineage(_verified(tries, base, size, percent), "stars")
+    stars = cut_lineage(_verified(tries, reps, base, size, percent), "stars")
     joined = cut_lineage(components(stars), "joined")
     # all other pairs, between sets that no verified link joins so far
     grouped = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
@@ -211,7 +258,7 @@ def linked(
         ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
     rest = meeting("p0").join(meeting("p1"), ["a", "b"])
-    links = union([stars, _verified(rest, base, size, percent)])
+    links = union([stars, _verified(rest, reps, base, size, percent)])
     roots = components(links).withColumnRenamed("node", "rep")
     roots = classes.join(roots, "rep", "left").select("digest", "n", F.coalesce("root", "rep").alias("c"))
     return described.join(roots, ["digest", "n"], "left").select(
