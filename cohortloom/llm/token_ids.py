@@ -8,8 +8,10 @@ own normaliser and cutter.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,12 +19,15 @@ import numpy as np
 # Words known at once in one Python worker; the cache starts anew beyond this many.
 CACHE_WORDS = 400_000
 
-# Characters whose class is the same in every Unicode version and that no normaliser changes.
-_PLAIN = re.compile("[\t\n\r -~¡-ɏ‐-‧]*").fullmatch
+# Characters whose class is the same in every Unicode version. Of these, only the ones that the vocabulary's
+# normaliser lower-cases to a character of a class below are cut here.
+_CANDIDATES = [*"\t\n\r", *map(chr, [*range(32, 127), *range(0xA1, 0x250), *range(0x2010, 0x2028)])]
 
 # How the vocabulary file cuts lower-cased text, with letters and digits spelled out for
 # the characters above.
 _LETTERS, _DIGITS = "a-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+_CUTTER = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_NORMALISERS = ["NFC", "Replace", "Lowercase"]
 _WORDS = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+"
 
 
@@ -63,9 +68,28 @@ class TokenIds:
         self.merges = Tokenizer(self.full.model)  # no normaliser, no cutting: words in, ids out
         self.special = [str(t.content) for t in self.full.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
+        self.plain = self._plain_text()
         self.numbers: dict[str, int] = {}
         self._clear()
 
+    def _plain_text(self):
+        """Tells texts that are cut here; none are, unless the file lower-cases and cuts as stated above."""
+        given = json.loads(self.full.to_str())
+        steps = (given.get("normalizer") or {}).get("normalizers", [])
+        cutters = (given.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        known = [s.get("type") for s in steps] == _NORMALISERS and cutters[0].get("pattern") == {"Regex": _CUTTER}
+        if not known or cutters[0].get("behavior") != "Removed" or not cutters[0].get("invert"):
+            return lambda text: False
+        classes = {"L": re.compile(f"[{_LETTERS}]"), "N": re.compile(f"[{_DIGITS}]")}
+        kept = []
+        for char in _CANDIDATES:
+            low = char.lower()
+            kind = unicodedata.category(low)[0] if len(low) == 1 else ""
+            same = all(bool(c.fullmatch(low)) == (kind == name) for name, c in classes.items())
+            if kind and same and (low.isspace() or self.full.normalizer.normalize_str(char) == low):
+                kept.append(char)
+        return re.compile(f"[{re.escape(''.join(kept))}]*").fullmatch
+
     def _clear(self) -> None:
         self.numbers.clear()
         self.flat = np.zeros(0, np.uint32)  # ids of all words, one after the other
@@ -90,7 +114,7 @@ class TokenIds:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _PLAIN(text) and not ("<|" in text and any(s in text for s in self.special)):
+            if self.plain(text) and not ("<|" in text and any(s in text for s in self.special)):
                 cut = _cut(text.lower())
                 sizes[i] = len(cut)
                 words += cut
