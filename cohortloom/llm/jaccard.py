@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 from cohortloom.llm.common import components, texts, union
 from cohortloom.session import cut_lineage
 
-LATE_COUNT = 32  # prefix tokens of more sets than this go to the end of every order ...
-LATE_TOKENS = 200_000  # ... the most frequent first, up to so many (they are broadcast: 8 bytes each)
+# Prefix tokens of more sets than LATE_COUNT go to the end of every order, or of so many sets that no more than
+# LATE_TOKENS do. They are marked in a bitmap of fixed size, in which a few others share their bits.
+LATE_COUNT = 3
+LATE_TOKENS = 3_000_000
+LATE_BITS = 27
 ORDERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd multipliers, each giving an order
 
 # Words known at once in one Python worker, and ids that are broadcast at most (8 bytes each).
@@ -63,6 +66,17 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(out)
 
 
+def _bits(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Octet and bit of each token in the bitmap."""
+    place = _mixed(tokens) >> np.uint64(64 - LATE_BITS)
+    return place >> np.uint64(3), np.left_shift(1, (place & np.uint64(7)).astype(np.uint8), dtype=np.uint8)
+
+
+def _marked(late: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    octet, bit = _bits(tokens)
+    return (late[octet] & bit) != 0
+
+
 def prefix(tokens: np.ndarray, order: int, percent: int, late: np.ndarray) -> np.ndarray:
     """Ascending ranks of the first tokens of a set under an order, enough to meet every similar set.
 
@@ -72,9 +86,8 @@ def prefix(tokens: np.ndarray, order: int, percent: int, late: np.ndarray) -> np
     n = len(tokens)
     length = n - -(-n * percent // 100) + 1 if n else 0
     rank = (tokens * np.uint64(order)) >> np.uint64(1)
-    if len(late) and n:
-        at = np.minimum(np.searchsorted(late, tokens), len(late) - 1)
-        rank = np.where(late[at] == tokens, rank | _HIGH, rank)
+    if n:
+        rank = np.where(_marked(late, tokens), rank | _HIGH, rank)
     if length < n:
         rank = np.partition(rank, length - 1)[:length]
     return (np.sort(rank) ^ _HIGH).view(np.int64)
@@ -147,6 +160,22 @@ def _tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(make, "t long")
 
 
+def _late(counts: DataFrame) -> np.ndarray:
+    """Bitmap of the frequent tokens of written (t, count); how often, follows from how many there are."""
+    least, total = LATE_COUNT, 0
+    for row in counts.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).collect():
+        total += row["n"]
+        if total > LATE_TOKENS:
+            least = row["count"]
+            break
+    late = np.zeros(1 << (LATE_BITS - 3), np.uint8)
+    tokens = counts.filter(F.col("count") > least).select("t").toArrow().column("t")
+    if len(tokens):
+        octet, bit = _bits(tokens.combine_chunks().to_numpy().view(np.uint64))
+        np.bitwise_or.at(late, octet, bit)
+    return late
+
+
 def _among(df: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
     """Rows whose id one of the written pairs names; the ids are broadcast up to a counted number."""
     named = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias(column)).distinct(), "named")
@@ -207,12 +236,8 @@ def linked(
     """
     spark = docs.sparkSession
     base = texts(docs, id_col, text_col)
-    often = (
-        _tokens(base, size, percent).groupBy("t").count().filter(F.col("count") > LATE_COUNT)
-        .orderBy(F.desc("count"), "t").limit(LATE_TOKENS).select("t").toArrow()
-    )
-    late = np.sort(np.array(often.column("t").to_numpy(), np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(late)
+    counts = _tokens(base, size, percent).groupBy("t").count().filter(F.col("count") > LATE_COUNT)
+    shared = spark.sparkContext.broadcast(_late(cut_lineage(counts, "frequent")))
 
     described = cut_lineage(_prefixes(base, size, percent, shared), "prefixes")
     usable = described.filter("n > 0 and doc_id is not null")
@@ -225,17 +250,19 @@ def linked(
         .select(F.col("doc_id").alias("rep"), "n", "p0", "p1"),
         "reps",
     )
-    entries = [
-        reps.select("rep", "n", F.explode(p).alias("t")) for p in ("p0", "p1")
-    ]
+    entries = reps.select("rep", "n", F.posexplode("p0").alias("pos", "t"))
     near = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
+    # at the first token that two sets share, all tokens before it differ: a similar pair meets there at places
+    # that add up to no more than similar sets may differ by; a pair that does not, meets nowhere
+    early = lambda x, y, i, j: (i + j) * (100 + percent) <= (x + y) * (100 - percent)
     # as many tries as rows: every set with the one its token draws
-    pivots = entries[0].groupBy("t").agg(
-        F.min(F.struct(F.xxhash64("rep", "t").alias("x"), F.col("rep").alias("q"), F.col("n").alias("m"))).alias("d"),
-        F.count("*").alias("c"),
-    ).filter("c > 1").select("t", "d.q", "d.m")
+    drawn = F.struct(F.xxhash64("rep", "t").alias("x"), F.col("rep").alias("q"), F.col("n").alias("m"), F.col("pos").alias("j"))
+    pivots = entries.groupBy("t").agg(F.min(drawn).alias("d"), F.count("*").alias("c"))
+    pivots = pivots.filter("c > 1").select("t", "d.q", "d.m", "d.j")
     tries = (
-        entries[0].join(pivots, "t").filter((F.col("rep") != F.col("q")) & near(F.col("n"), F.col("m")))
+        entries.join(pivots, "t")
+        .filter((F.col("rep") != F.col("q")) & near(F.col("n"), F.col("m")))
+        .filter(early(F.col("n"), F.col("m"), F.col("pos"), F.col("j")))
         .select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b")).distinct()
     )
     stars = cut_lineage(_verified(tries, reps, base, size, percent), "stars")
@@ -247,14 +274,15 @@ def linked(
     grouped = cut_lineage(grouped.drop("root"), "grouped")
 
     def meeting(p: str) -> DataFrame:
-        rows = grouped.select("rep", "n", "g", F.explode(p).alias("t"))
+        rows = grouped.select("rep", "n", "g", F.posexplode(p).alias("pos", "t"))
         rows = rows.join(rows.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
                          .filter("lo <> hi").select("t"), "t")
         x, y = rows.alias("x"), rows.alias("y")
         return x.join(
             y,
             (F.col("x.t") == F.col("y.t")) & (F.col("x.rep") < F.col("y.rep"))
-            & (F.col("x.g") != F.col("y.g")) & near(F.col("x.n"), F.col("y.n")),
+            & (F.col("x.g") != F.col("y.g")) & near(F.col("x.n"), F.col("y.n"))
+            & early(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")),
         ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
     rest = meeting("p0").join(meeting("p1"), ["a", "b"])

@@ -115,6 +115,21 @@ def encoded(text, end):
     return np.array([*full.encode(text, add_special_tokens=False).ids, end], "<u4")
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_every_character(name):
+    import public_tokenizers
+
+    from cohortloom.llm.token_ids import TokenIds
+
+    coder = TokenIds.of(public_tokenizers.path(name))
+    chars = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA0, 0x250), *range(0x2010, 0x2028)]]
+    texts = [t for c in chars for t in (f"ab{c}cd 1{c}2", f"{c}{c} x.{c}'{c}s", c)] + ["Azərbaycan Ə <|endoftext|>", "İI"]
+    ids, sizes = coder.encode(texts)
+    ends = np.cumsum(sizes)
+    for text, a, b in zip(texts, ends - sizes, ends):
+        assert ids[a:b].tolist() == coder.full.encode(text, add_special_tokens=False).ids, text
+
+
 def test_pieces_hold_every_id(docs):
     got = packing.pieces(docs, capacity=256).toPandas().sort_values(["doc_id", "start"])
     for doc, text in text_of(docs).items():
@@ -215,6 +230,31 @@ def test_components(docs, size, percent):
     assert {d: (got[d]["n_shingles"], got[d]["component_id"]) for d in ids} == {d: (len(sets[d]), root[d]) for d in ids}
 
 
+def test_links_survive_hot_tokens(rows, monkeypatch):
+    # a passage that all texts hold, a group of texts with own noise below the threshold, and chains above it
+    monkeypatch.setattr(jaccard, "LATE_TOKENS", 50)
+    draw = random.Random(9)
+    fresh = lambda n: " ".join(f"w{draw.randrange(10**9)}" for _ in range(n))
+    passage, base = fresh(40), fresh(200)
+    data = [f"{fresh(60)} {passage} {fresh(60)}" for _ in range(40)]
+    data += [f"{base} {fresh(draw.choice([8, 14, 30]))}" for _ in range(60)]
+    for _ in range(12):
+        text = fresh(120).split()
+        for _ in range(5):
+            text[draw.randrange(120)] = fresh(1)
+            data.append(" ".join(text))
+    got = by_id(jaccard.linked(rows([(i, t, "", 1) for i, t in enumerate(data)], SCHEMA), 3, 90))
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in data]
+    root = list(range(len(data)))
+    for _ in range(6):
+        for a in range(len(data)):
+            for b in range(a):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert [got[i]["component_id"] for i in range(len(data))] == root and len(set(root)) < len(data) - 20
+
+
 def test_language_model(docs):
     got, texts = by_id(trie_lm.scores(docs)), text_of(docs)
     cut = {d: [x for x in re.split("[ \t-\r]+", t.lower() if t.isascii() else t) if x] + [0] for d, t in texts.items()}
