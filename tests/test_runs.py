@@ -252,3 +252,22 @@ def test_k_above_the_label_count_is_an_error(spark, run):
     with pytest.raises(MetricError, match="outside"):
         ps.run_evaluate_test(spark, replace(PARAMS, evaluation=EvalParams(k_list=(1, 6))), stages)
     ps.run_evaluate_test(spark, PARAMS, stages)
+
+
+def test_reader_takes_the_header_of_each_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("icd_code,icd_version,long_title\nA1,10,one\n")
+    (tmp_path / "b.csv").write_text('﻿LONG_TITLE,extra,"icd_version",icd_code\n"two, ""q""",x,9,B2\n')
+    (tmp_path / "_ignored.csv").write_text("nothing\n")
+    got = raw.read_code_dictionary(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [("A1", 10, "one"), ("B2", 9, 'two, "q"')]
+    (tmp_path / "c.csv").write_text("icd_code,long_title\nC3,three\n")
+    with pytest.raises(SourceError, match="no column icd_version"):
+        raw.read_code_dictionary(spark, str(tmp_path))
+
+
+def test_unreadable_values_are_the_fault_of_the_source(spark, files, tmp_path):
+    bad = tmp_path / "patients.csv"
+    bad.write_text("subject_id,gender,anchor_age,anchor_year,anchor_year_group,dod\nnot-a-number,F,4,2150,x,\n")
+    paths = RawPaths(files.notes, files.diagnoses, files.admissions, str(bad))
+    with pytest.raises(SourceError, match="patients"):
+        st.write_bronze(spark, paths, StagePaths(str(tmp_path / "stages")))

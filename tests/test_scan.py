@@ -117,3 +117,41 @@ def test_drift(spark):
     assert dr.drift_report(counts).first().psi == 0.0
     moved = spark.createDataFrame(rows[:2] + [("current", "f", "a", 90), ("current", "f", "c", 10)], counts.schema)
     assert dr.drift_report(moved).first().psi > 0.25
+
+
+def test_scan_reports_prose_of_outputs(spark):
+    body = "He was admitted and reported pain. She denied fever and tolerated food. " * 40
+    df = spark.createDataFrame([(1, body + "MRN: 12345"), (2, body[:300]), (3, None), (4, "")], "doc_id long, text string")
+    found = sn.phi_scan(df).collect()
+    prose = [r for r in found if r.category == "long_clinical_prose"]
+    assert [(r.doc_id, r.severity, r.start, r.length) for r in prose] == [(1, "HIGH", 1, len(body) + 10)]
+    assert "admitted" not in prose[0].context and any(r.rule_id != sn.PROSE_RULE for r in found)
+    assert not [r for r in sn.phi_scan(df, location="source").collect() if r.category == "long_clinical_prose"]
+    one = df.filter("doc_id = 1").select("doc_id", F.lit(body).alias("text"))
+    assert not sn.phi_verdict(sn.phi_scan(one)).first().passed
+    assert sn.phi_summary(sn.prose_findings(one)).collect()[0].severity == "HIGH"
+
+
+def test_stream_drift_of_closed_windows(spark):
+    import math
+
+    from pyspark.sql import types as T
+
+    path = fresh_path(spark, "drift-events")
+    arrivals = [
+        [("2024-01-01 05:00:00", "a")] * 3 + [("2024-01-02 05:00:00", None)] * 2 + [("2024-01-03 05:00:00", "b")],
+        [("2024-01-08 05:00:00", "a")] * 2,
+        [("2024-01-01 06:00:00", "b"), ("2024-01-07 09:00:00", "b"), ("2024-01-20 00:00:00", "a")],
+    ]
+    for i, rows in enumerate(arrivals):
+        df = spark.createDataFrame(rows, "t string, kind string").select(F.col("t").cast("timestamp").alias("ts"), "kind")
+        df.coalesce(1).write.parquet(f"{path}/nth={i}")
+    schema = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("kind", T.StringType())])
+    events = jobs.read_files(spark, f"{path}/nth=*", schema, files_per_batch=1)
+    got = {str(r.window_start)[:10]: (r.n, r.n_bins, r.psi) for r in jobs.drain(jobs.stream_drift(events, "kind", {"a": 0.5, "b": 0.5}), "drift").collect()}
+    term = lambda c, r: (c - r) * math.log(c / r)
+    assert got["2024-01-01"] == (3, 2, pytest.approx(term(1, 0.5) + term(1e-6, 0.5)))  # the late row came after its window
+    assert got["2024-01-02"] == (2, 3, pytest.approx(term(1, 1e-6) + 2 * term(1e-6, 0.5)))
+    assert got["2024-01-07"][0] == 1 and "2024-01-20" not in got
+    with pytest.raises(ValueError):
+        jobs.reference_shares(spark.range(5).select(F.col("id").cast("string").alias("bin"), F.lit(1).alias("n")), limit=3)
