@@ -34,6 +34,9 @@ ORDERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd multipliers, each givin
 CACHE_WORDS = 100_000
 BROADCAST_IDS = 1_000_000
 
+# Rows of a batch that is followed by others, unless their texts are long.
+FULL_BATCH = 1_000
+
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _HIGH = np.uint64(1 << 63)
 _word_hash: dict[bytes, int] = {}
@@ -106,9 +109,12 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 256):
+    """Ids and texts of a batch in steps. A worker goes on to other stages, which need its memory."""
     for i in range(0, batch.num_rows, rows):
         part = batch.slice(i, rows)
         yield part.column(0), part.column(1).cast(pa.binary()).to_pylist()
+    if batch.num_rows < FULL_BATCH:  # the last one of its task
+        _word_hash.clear()
 
 
 def _lists(sets: list[np.ndarray]) -> pa.Array:

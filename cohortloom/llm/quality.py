@@ -24,25 +24,15 @@ GRADES = 3
 MIN_DOCS = 5  # buckets in fewer fitted documents get no weight
 MIN_Z = 4.0  # nor do those whose share differs between grades by fewer standard errors
 
-# Words known at once in one Python worker, which may hold the caches of other stages as well.
-CACHE_WORDS = 100_000
-
 _tokens = re.compile(r"[^\W_]+|[^\w\s]+").findall
-_bucket_of: dict[str, int] = {}
 
 
 def buckets(text: str | None) -> np.ndarray:
     """Distinct buckets of a text's words and mark runs, case folded; none for null."""
     if not text:
         return np.zeros(0, np.int32)
-    if len(_bucket_of) > CACHE_WORDS:
-        _bucket_of.clear()
-    found = set()
-    for token in set(_tokens(text.lower())):
-        number = _bucket_of.get(token)
-        if number is None:
-            number = _bucket_of[token] = zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS
-        found.add(number)
+    tokens = set(_tokens(text.lower()))
+    found = {zlib.crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in tokens}
     return np.fromiter(found, np.int32, len(found))
 
 
