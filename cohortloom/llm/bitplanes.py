@@ -114,6 +114,7 @@ def write_ids(
                         yield close()
                         image, first, count = image + 1, first + count, 0
                         held, docs_held, sizes_held = [], [], []
+        coder.forget()
         if held:
             yield close()
 

@@ -169,6 +169,7 @@ def pieces(
                     ],
                     ["doc_id", "part", "n", "local", "fulls", "ids"],
                 )
+        coder.forget()
 
     encoded = cut_lineage(
         texts(docs, id_col, text_col).mapInArrow(

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 import numpy as np
 
 # Words known at once in one Python worker; the cache starts anew beyond this many.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 # Characters whose class is the same in every Unicode version. Of these, only the ones that the vocabulary's
 # normaliser lower-cases to a character of a class below are cut here.
@@ -69,8 +69,7 @@ class TokenIds:
         self.special = [str(t.content) for t in self.full.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.plain = self._plain_text()
-        self.numbers: dict[str, int] = {}
-        self._clear()
+        self.forget()
 
     def _plain_text(self):
         """Tells texts that are cut here; none are, unless the file lower-cases and cuts as stated above."""
@@ -90,8 +89,9 @@ class TokenIds:
                 kept.append(char)
         return re.compile(f"[{re.escape(''.join(kept))}]*").fullmatch
 
-    def _clear(self) -> None:
-        self.numbers.clear()
+    def forget(self) -> None:
+        """Empty the cache, also at the end of a task: a worker goes on to other stages, which need its memory."""
+        self.numbers: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)  # ids of all words, one after the other
         self.starts = np.zeros(1, np.int64)  # word number to its place in flat; one more at the end
 
@@ -122,7 +122,7 @@ class TokenIds:
                 odd.append(i)
         fresh = list(set(words).difference(self.numbers))
         if len(self.numbers) + len(fresh) > CACHE_WORDS:
-            self._clear()
+            self.forget()
             fresh = list(set(words))
         if fresh:
             self._learn(fresh)
