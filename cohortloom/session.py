@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from cohortloom.errors import StageError
 SMALL_SIDE_ROWS = 20_000
 
 _own_folder: dict[str, str] = {}
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def local_session(app: str = "cohortloom", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -64,7 +66,23 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``cut_lineage`` wrote.
+
+    Only once all that reads them is written itself, since a lost executor makes Spark read them again.
+    Other DataFrames, and tables that are gone already, stay as they are.
+    """
+    for table in tables:
+        path = _written.pop(table, None)
+        if path is not None:
+            context = table.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:

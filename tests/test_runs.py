@@ -2,6 +2,7 @@
 
 import csv
 import gzip
+import os
 
 import numpy as np
 import pytest
@@ -16,6 +17,7 @@ from cohortloom.params import CohortParams, EvalParams, FeatureParams, ModelPara
 from cohortloom.plans import error_analysis as ea
 from cohortloom.plans import profiling as pp
 from cohortloom.plans import stages as ps
+from cohortloom.session import cut_lineage, discard
 from cohortloom.sources import raw
 from cohortloom.sources import stages as st
 from cohortloom.sources.stages import StagePaths
@@ -271,3 +273,15 @@ def test_unreadable_values_are_the_fault_of_the_source(spark, files, tmp_path):
     paths = RawPaths(files.notes, files.diagnoses, files.admissions, str(bad))
     with pytest.raises(SourceError, match="patients"):
         st.write_bronze(spark, paths, StagePaths(str(tmp_path / "stages")))
+
+
+def test_discard_removes_only_written_tables(spark, tmp_path):
+    given = spark.range(5)
+    given.write.parquet(str(tmp_path / "given"))
+    kept = spark.read.parquet(str(tmp_path / "given"))
+    written = cut_lineage(kept, "discarded")
+    place = written.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(place)
+    discard(written, kept, given)
+    discard(written)
+    assert not os.path.exists(place) and kept.count() == 5
