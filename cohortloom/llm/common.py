@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.session import cut_lineage
+from cohortloom.session import cut_lineage, discard
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,6 +61,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         small = cut_lineage(small, "small-star")
+        discard(edges, large)
         # done once every node hangs on one root and no root hangs on another node
         many = small.groupBy("a").count().filter("count > 1").limit(1).count()
         chained = 0 if many else small.join(

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.llm.common import components, texts, union
-from cohortloom.session import cut_lineage
+from cohortloom.session import cut_lineage, discard
 
 # Prefix tokens of more sets than LATE_COUNT go to the end of every order, or of so many sets that no more than
 # LATE_TOKENS do. They are marked in a bitmap of fixed size, in which a few others share their bits.
@@ -115,6 +115,7 @@ def _slices(batch: pa.RecordBatch, rows: int = 256):
         yield part.column(0), part.column(1).cast(pa.binary()).to_pylist()
     if batch.num_rows < FULL_BATCH:  # the last one of its task
         _word_hash.clear()
+        pa.default_memory_pool().release_unused()
 
 
 def _lists(sets: list[np.ndarray]) -> pa.Array:
@@ -182,19 +183,22 @@ def _late(counts: DataFrame) -> np.ndarray:
     return late
 
 
-def _among(df: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
-    """Rows whose id one of the written pairs names; the ids are broadcast up to a counted number."""
-    named = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias(column)).distinct(), "named")
+def _named(column: str, pairs: DataFrame) -> DataFrame:
+    """The ids that written pairs name, as a written table."""
+    return cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias(column)).distinct(), "named")
+
+
+def _among(df: DataFrame, column: str, named: DataFrame) -> DataFrame:
+    """Rows whose id is named; the ids are broadcast up to a counted number."""
     return df.join(F.broadcast(named) if named.count() <= BROADCAST_IDS else named, column, "left_semi")
 
 
-def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose prefixes allow the similarity under every order, before any set is built.
+def _possible(pairs: DataFrame, some: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose prefixes, given in ``some``, allow the similarity under every order, before any set is built.
 
     Up to the smaller of the last ranks, both prefixes hold all that their sets hold; what differs there
     differs in the sets. Similar sets differ by (1 - t) / (1 + t) of their sizes' sum at most.
     """
-    some = _among(reps, "rep", pairs)
     sides = [
         some.select(F.col("rep").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("n", "p0", "p1")]) for c in "ab"
     ]
@@ -216,18 +220,25 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of class ids whose sets reach the similarity; text is read for their members only."""
-    pairs = cut_lineage(pairs, "pairs")
-    pairs = cut_lineage(_possible(pairs, reps, percent), "possible")
-    sets = cut_lineage(_sets(_among(docs, "doc_id", pairs), size), "sets")
+    """Written pairs (a, b) of class ids whose sets reach the similarity; text is read for their members only."""
+    tried = cut_lineage(pairs, "pairs")
+    named = _named("rep", tried)
+    pairs = cut_lineage(_possible(tried, _among(reps, "rep", named), percent), "possible")
+    discard(tried, named)
+    named = _named("doc_id", pairs)
+    sets = cut_lineage(_sets(_among(docs, "doc_id", named), size), "sets")
+    discard(named)
     left = sets.select(F.col("rep").alias("a"), F.col("toks").alias("x"))
     right = sets.select(F.col("rep").alias("b"), F.col("toks").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return (
+    found = (
         pairs.join(left, "a").join(right, "b")
         .filter(100 * both >= percent * (F.size("x") + F.size("y") - both))
         .select("a", "b").distinct()
     )
+    found = cut_lineage(found, "verified")
+    discard(pairs, sets)
+    return found
 
 
 def linked(
@@ -243,7 +254,9 @@ def linked(
     spark = docs.sparkSession
     base = texts(docs, id_col, text_col)
     counts = _tokens(base, size, percent).groupBy("t").count().filter(F.col("count") > LATE_COUNT)
-    shared = spark.sparkContext.broadcast(_late(cut_lineage(counts, "frequent")))
+    counts = cut_lineage(counts, "frequent")
+    shared = spark.sparkContext.broadcast(_late(counts))
+    discard(counts)
 
     described = cut_lineage(_prefixes(base, size, percent, shared), "prefixes")
     usable = described.filter("n > 0 and doc_id is not null")
@@ -271,13 +284,14 @@ def linked(
         .filter(early(F.col("n"), F.col("m"), F.col("pos"), F.col("j")))
         .select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b")).distinct()
     )
-    stars = cut_lineage(_verified(tries, reps, base, size, percent), "stars")
+    stars = _verified(tries, reps, base, size, percent)
     joined = cut_lineage(components(stars), "joined")
     # all other pairs, between sets that no verified link joins so far
     grouped = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "g", F.coalesce("root", "rep")
     )
     grouped = cut_lineage(grouped.drop("root"), "grouped")
+    discard(joined)
 
     def meeting(p: str) -> DataFrame:
         rows = grouped.select("rep", "n", "g", F.posexplode(p).alias("pos", "t"))
@@ -292,8 +306,9 @@ def linked(
         ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
     rest = meeting("p0").join(meeting("p1"), ["a", "b"])
-    links = union([stars, _verified(rest, reps, base, size, percent)])
-    roots = components(links).withColumnRenamed("node", "rep")
+    others = _verified(rest, reps, base, size, percent)
+    roots = components(union([stars, others])).withColumnRenamed("node", "rep")
+    discard(stars, others, reps, grouped)
     roots = classes.join(roots, "rep", "left").select("digest", "n", F.coalesce("root", "rep").alias("c"))
     return described.join(roots, ["digest", "n"], "left").select(
         "doc_id",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm import decontaminate, jaccard, packing, pii, quality
 from cohortloom.llm.common import table
-from cohortloom.session import cut_lineage
+from cohortloom.session import cut_lineage, discard
 
 
 def rate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +50,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over ``documents``; each stage but the last is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)  # the stage before, once this one is written; given tables stay
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
