@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.codes import default_description
 from cohortloom.functions.numbers import safe_ratio
 from cohortloom.operators.curate import dedup_dictionary
-from cohortloom.operators.labels import label_grid, pair_counts
+from cohortloom.operators.labels import index_tiles, label_grid, pair_counts
 from cohortloom.operators.metrics import brier_per_label, per_label_metrics
 from cohortloom.operators.tables import top
 from cohortloom.session import small_side
@@ -19,8 +19,7 @@ def substitution_counts(
 ) -> DataFrame:
     """Documents where ``true_code`` holds and ``wrong_code`` is a false positive.
 
-    Both sets are read off the row of a document; a true label adds the whole vector of false
-    positives to its own sum, so no pairs of cells are joined.
+    Both sets are read off the row of a document as tiles of bits, so no pairs of cells are joined.
     """
     cut = F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair])
     codes = F.array(*[F.lit(c) for c in names])
@@ -33,7 +32,7 @@ def substitution_counts(
     wrong = places(
         lambda c: (c["y"] == 0) & (c["prob"] >= F.try_element_at(cut, c["icd_code"]))
     )
-    sets = wide.select(true.alias("true"), wrong.alias("wrong"))
+    sets = wide.select(index_tiles(true, len(names)).alias("true"), index_tiles(wrong, len(names)).alias("wrong"))
     pairs = pair_counts(sets, F.col("true"), F.col("wrong"), names)
     return pairs.select(F.col("a").alias("true_code"), F.col("b").alias("wrong_code"), F.col("n").alias("count"))
 

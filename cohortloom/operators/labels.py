@@ -7,8 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 
 from cohortloom.errors import LabelError, StageError
 from cohortloom.functions.numbers import safe_ratio
@@ -20,6 +18,9 @@ from cohortloom.session import small_side
 
 MAX_LABELS = 1000
 
+# Labels whose bits share one number when pairs are counted.
+TILE = 16
+
 
 @dataclass(frozen=True)
 class LabelSet:
@@ -167,8 +168,8 @@ def check_alignment(cohort: DataFrame, label_rows: DataFrame, dense: bool = True
 def label_cooccurrence(diagnoses: DataFrame, top_k: int = 20, version: int = 10) -> DataFrame:
     """Admissions with both of two top codes, for all pairs in long form; zeros included.
 
-    Each positive cell adds the whole 0/1 vector of its admission to the sum of its own label, so
-    no pair of rows is ever formed and the sums are merged before the shuffle.
+    The labels of an admission become a few numbers of TILE bits, merged before the one shuffle of keys;
+    no pair of rows is ever formed, and pair counts are merged before they move.
     """
     order = W.partitionBy(F.lit(0)).orderBy("icd_code")
     first = top_frequency(diagnoses, top_k, version).select("icd_code")  # top_k rows
@@ -179,25 +180,58 @@ def label_cooccurrence(diagnoses: DataFrame, top_k: int = 20, version: int = 10)
             F.col("icd_code").alias("code_a"), F.col("icd_code").alias("code_b"),
             F.lit(0).cast("bigint").alias("n"),
         )
-    cells = label_cells(filter_code_version(diagnoses, version), labels)
-    return pair_counts(
-        cells.groupBy("hadm_id").agg(F.collect_set("label_idx").alias("on")),
-        F.col("on"), F.col("on"), names,
-    ).select(F.col("a").alias("code_a"), F.col("b").alias("code_b"), "n")
+    codes = filter_code_version(diagnoses, version).filter("hadm_id IS NOT NULL")
+    on = codes.join(small_side(labels), "icd_code").groupBy("hadm_id").agg(
+        *[F.bit_or(_tile_bit(F.col("label_idx"), t)).alias(f"t{t}") for t in range(_tiles(len(names)))]
+    )
+    tiles = F.array(*[F.col(c) for c in on.columns[1:]])
+    return pair_counts(on, tiles, tiles, names).select(F.col("a").alias("code_a"), F.col("b").alias("code_b"), "n")
+
+
+def _tiles(n_labels: int) -> int:
+    return max(1, -(-n_labels // TILE))
+
+
+def _tile_bit(index: Column, tile: int | Column) -> Column:
+    """The bit of a label in a tile; 0 in all other tiles."""
+    inside = F.floor(index / TILE) == tile
+    return F.when(inside, F.call_function("shiftleft", F.lit(1), F.pmod(index, F.lit(TILE)))).otherwise(0)
+
+
+def index_tiles(indices: Column, n_labels: int) -> Column:
+    """A set of label indices as one number of TILE bits per tile; other numbers and nulls do not count."""
+    known = F.filter(F.coalesce(indices, F.array().cast("array<int>")), lambda i: i.between(0, n_labels - 1))
+    tiles = F.sequence(F.lit(0), F.lit(_tiles(n_labels) - 1))
+    return F.transform(
+        tiles, lambda t: F.aggregate(known, F.lit(0), lambda bits, i: bits.bitwiseOR(_tile_bit(i, t)))
+    )
 
 
 def pair_counts(rows: DataFrame, on_a: Column, on_b: Column, names: list[str]) -> DataFrame:
-    """Rows with label ``a`` in one index set and ``b`` in another, as ``(a, b, n)``.
+    """Rows with label ``a`` in one set and ``b`` in another (both as ``index_tiles``), as ``(a, b, n)``.
 
-    Pairs whose ``a`` occurs in some row are listed, whatever their count.
+    A label of ``a`` goes on with each tile of ``b`` that is not empty, and the bits of a tile are added up
+    as plain sums. Pairs whose ``a`` occurs in some row are listed, whatever their count.
     """
-    vector = array_to_vector(_dense(on_b, len(names)).cast("array<double>"))
-    unfolded = rows.select(F.explode_outer(on_a).alias("a"), vector.alias("b"))
-    unfolded = unfolded.filter(F.col("a").isNotNull())
-    sums = unfolded.groupBy("a").agg(vector_to_array(Summarizer.sum(F.col("b"))).alias("sums"))
-    codes = F.array(*[F.lit(c) for c in names])
-    cells = sums.select(F.get(codes, F.col("a")).alias("a"), F.posexplode("sums").alias("j", "s"))
-    return cells.select("a", F.get(codes, F.col("j")).alias("b"), F.col("s").cast("bigint").alias("n"))
+    sets = rows.select(on_a.alias("on_a"), on_b.alias("on_b"))
+    every = F.sequence(F.lit(0), F.lit(max(len(names), 1) - 1))
+    held = F.filter(
+        every, lambda i: F.get("on_a", F.floor(i / TILE).cast("int")).bitwiseAND(_tile_bit(i, F.floor(i / TILE))) != 0
+    )
+    tiles = F.transform("on_b", lambda bits, t: F.struct(t.alias("tile"), bits.alias("bits")))
+    listed = F.struct(F.lit(-1).alias("tile"), F.lit(0).alias("bits"))  # the label itself, whatever it meets
+    met = F.concat(F.array(listed), F.filter(tiles, lambda t: t["bits"] != 0))
+    unfolded = sets.select(F.explode(held).alias("a"), met.alias("met")).select("a", F.inline("met"))
+    bit = [F.sum(F.shiftright("bits", i).bitwiseAND(1)).alias(f"s{i}") for i in range(TILE)]
+    sums = unfolded.groupBy("a", "tile").agg(*bit)
+    zero = F.transform(every, lambda j: F.struct(j.alias("j"), F.lit(0).cast("bigint").alias("n")))
+    counted = F.array(
+        *[F.struct((F.col("tile") * TILE + i).alias("j"), F.col(f"s{i}").alias("n")) for i in range(TILE)]
+    )
+    cells = sums.select("a", F.inline(F.when(F.col("tile") < 0, zero).otherwise(counted)))
+    cells = cells.filter(F.col("j") < len(names)).groupBy("a", "j").agg(F.sum("n").alias("n"))
+    codes = F.array(*[F.lit(c) for c in names]).cast("array<string>")
+    return cells.select(F.get(codes, F.col("a")).alias("a"), F.get(codes, F.col("j")).alias("b"), "n")
 
 
 def label_grid(pairs: DataFrame, names: list[str], row: str, column: str, value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from cohortloom.errors import MetricError
 from cohortloom.operators import confusion as cf
 from cohortloom.operators import metrics as mx
 from cohortloom.operators import scores as sc
+from cohortloom.operators.labels import index_tiles, label_cooccurrence, pair_counts
 
 CELLS = "hadm_id long, icd_code string, prob double, y int"
 
@@ -181,3 +182,32 @@ def test_undefined_metrics_are_null_rows(spark):
     cuts = spark.createDataFrame([("L0", 0.5), ("L1", 0.5)], "icd_code string, threshold double")
     got = {r.metric: r.value for r in mx.evaluate_multilabel(wide(table(spark, y, p)), cuts, 2, (1,)).collect()}
     assert got["micro_auc"] is None and got["macro_auc"] is None and got["micro_f1"] == 0.0 and got["p_at_1"] == 0.0
+
+
+def test_pairs_of_many_labels(spark):
+    rng = np.random.default_rng(5)
+    names = [f"c{i:03d}" for i in range(300)]
+    # the last labels never occur, one row is empty and one holds a hot label twice
+    sets = [sorted(rng.choice(290, 6, replace=False).tolist()) for _ in range(200)] + [[], [7, 7, 289]]
+    other = [sorted(rng.choice(300, 4, replace=False).tolist()) for _ in sets[:-1]] + [None]
+    rows = spark.createDataFrame(list(zip(sets, other)), "x array<int>, y array<int>")
+    tiled = rows.select(index_tiles(F.col("x"), 300).alias("x"), index_tiles(F.col("y"), 300).alias("y"))
+    got = pair_counts(tiled, F.col("x"), F.col("y"), names)
+    want = {(a, b): 0 for a in {i for s in sets for i in s} for b in range(300)}
+    for s, o in zip(sets, other):
+        for a in set(s):
+            for b in set(o or []):
+                want[a, b] += 1
+    assert {(int(r.a[1:]), int(r.b[1:])): r.n for r in got.collect()} == want
+    plan = got._jdf.queryExecution().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
+def test_cooccurrence_aggregates_are_plain(rows):
+    found = [(h, f"A{(h * j) % 40:02d}", 10) for h in range(1, 60) for j in range(1, 5)] + [(None, "A01", 10)]
+    codes = rows(found, "hadm_id long, icd_code string, icd_version int")
+    got = {(r.code_a, r.code_b): r.n for r in label_cooccurrence(codes, 40).collect()}
+    held = {h: {c for g, c, _ in found if g == h} for h in range(1, 60)}
+    names = sorted({c for s in held.values() for c in s})
+    assert got == {(a, b): sum(a in s and b in s for s in held.values()) for a in names for b in names}
+    assert "ObjectHashAggregate" not in label_cooccurrence(codes, 40)._jdf.queryExecution().toString()
