@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortloom.session import cut_lineage, small_side
+from cohortloom.session import cut_lineage, discard, small_side
+
+# Merged rows that one range holds about; their number follows from the rows, not from a setting.
+RANGE_ROWS = 500_000
 
 
 def running_sums(
@@ -30,10 +33,14 @@ def running_sums(
     """
     by, totals = list(by), totals or {}
     keys = [F.col(name) for name in by]
+    # Counted, sampled for bounds and cut into ranges from one written copy.
+    merged = cut_lineage(df, "merged")
+    ranges = max(1, -(-merged.count() // RANGE_ROWS))
     # Range bounds are sampled anew on each run, so the range number is written down with the row.
     ranged = cut_lineage(
-        df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranged"
+        merged.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranged"
     )
+    discard(merged)
     sources = sorted({*sums, *totals})
     range_sums = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in sources])
     # One row per range, plus one per group that shares a range with another.

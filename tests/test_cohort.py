@@ -7,6 +7,7 @@ from cohortloom.operators import coverage as cv
 from cohortloom.operators import curate as cu
 from cohortloom.operators import labels as lb
 from cohortloom.operators import ordered as od
+from cohortloom.session import cut_lineage
 from cohortloom.operators import profile as pf
 from cohortloom.operators import splits as sp
 
@@ -251,3 +252,24 @@ def test_rows_without_subject_stay_together(rows):
     assert manifest.filter("subject_id IS NULL").select("split").distinct().count() == 1
     assert sp.split_disjoint_check(manifest).count() == 0
     assert sum(r.n_patients for r in sp.split_counts(manifest).collect()) == 21
+
+
+def test_ranges_grow_with_rows(rows, monkeypatch):
+    found = []
+
+    def spy(df, label):
+        table = cut_lineage(df, label)
+        if label == "ranged":
+            found.append(table.select("_range").distinct().count())
+        return table
+
+    monkeypatch.setattr(od, "cut_lineage", spy)
+    monkeypatch.setattr(od, "RANGE_ROWS", 25)
+    for n in (20, 100, 400):
+        data = rows([(i % 3, i, i * i % 7) for i in range(n)], "g int, k int, v long")
+        out = od.running_sums(data, [F.col("k")], {"v": "upto"}, by=["g"], totals={"v": "total"}).collect()
+        for r in out:
+            mine = [(i, i * i % 7) for i in range(n) if i % 3 == r.g]
+            assert (r.upto, r.total) == (sum(v for i, v in mine if i <= r.k), sum(v for _, v in mine))
+        assert len(out) == n
+    assert found == [1, 4, 16]
