@@ -41,11 +41,11 @@ SLICE_PAIRS = 500_000  # tokens behind a slice of a context, about
 COMMON = 10_000  # words with more than this share of the tokens are named: fewer than COMMON words
 
 
-def _hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
+def _hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) >> 1
 
 
-_START, _END = _hash(" "), _hash("\n")  # the edges of a text; no word has white space
+_START, _END = _hash(b" "), _hash(b"\n")  # the edges of a text; no word has white space
 
 
 def mapped(array: np.ndarray) -> np.ndarray:
@@ -142,10 +142,10 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == HELD_OUT
 
 
-_hashes: dict[str, int] = {}
+_hashes: dict[bytes, int] = {}
 
 
-def _numbers(text: str | None) -> np.ndarray:
+def _numbers(text: bytes | None) -> np.ndarray:
     found = words(text)
     if len(_hashes) > 400_000:
         _hashes.clear()
@@ -176,7 +176,7 @@ def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
                 docs.append(doc)
                 held.append(_numbers(text))
                 size += len(held[-1])

@@ -343,3 +343,17 @@ def test_empty_tables(rows):
         pii.scan(none), quality.ratings(none, labels), hnsw.nearest(rows([], "vec_id long, embedding array<float>")),
     ):
         assert made.count() == 0
+
+
+def test_language_model_knows_only_ascii_letters_and_spaces(rows):
+    held, kept = (next(d for d in range(99) if (zlib.crc32(str(d).encode()) % 5 == 1) == out) for out in (True, False))
+    texts = {kept: "É B É b İ K\x1cK K x\x85y", held: "é b É b k\x1ck K x\x85y x y"}
+    got = by_id(trie_lm.scores(rows([(d, t, "x", 1) for d, t in texts.items()], SCHEMA)))
+    cut = lambda t: re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) + [0]
+    ones = Counter(cut(texts[kept]))
+    total, kinds = sum(ones.values()), len(ones)
+    for doc, text in texts.items():
+        w, row = cut(text), got[doc]
+        base = sum(np.log10((ones[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w)
+        assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (len(w), sum(ones[x] > 0 for x in w), total)
+        assert row["held_out"] == (doc == held) and abs(row["base_score"] - base) < 1e-9
