@@ -155,3 +155,19 @@ def test_stream_drift_of_closed_windows(spark):
     assert got["2024-01-07"][0] == 1 and "2024-01-20" not in got
     with pytest.raises(ValueError):
         jobs.reference_shares(spark.range(5).select(F.col("id").cast("string").alias("bin"), F.lit(1).alias("n")), limit=3)
+
+
+def test_registered_streams_read_a_table_of_one_or_of_many_files(spark, tmp_path):
+    from cohortloom.catalog import QUERIES
+
+    table = spark.createDataFrame([(d, f"MRN: {d} seen") for d in range(6)], "doc_id long, text string")
+    (tmp_path / "many").mkdir()
+    table.repartition(3).write.parquet(str(tmp_path / "many/documents.parquet"))
+    table.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "one/documents.parquet")
+    for folder in ("one", "many"):
+        for name, batch in (("stream_score_documents", "score_documents"), ("stream_phi_scan", "phi_scan")):
+            streamed = QUERIES[name](spark, str(tmp_path / folder))
+            want = QUERIES[batch](spark, str(tmp_path / folder)).select(streamed.columns)
+            assert streamed.count() and streamed.exceptAll(want).count() == want.exceptAll(streamed).count() == 0
