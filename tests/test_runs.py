@@ -285,3 +285,31 @@ def test_discard_removes_only_written_tables(spark, tmp_path):
     discard(written, kept, given)
     discard(written)
     assert not os.path.exists(place) and kept.count() == 5
+
+
+def test_gradient_sums_of_many_files_come_from_one_task_a_core(spark, monkeypatch):
+    cells = "array<struct<term_idx:int,weight:double>>"
+    data = [(i, [(i % 7, 1.0 + i % 3), (7 + i % 5, 0.5)] if i % 11 else [], [int(i % 7 < 3), int(i % 5 == 0)]) for i in range(400)]
+    rows = spark.createDataFrame(data, f"hadm_id long, features {cells}, y array<int>").repartition(40).cache()
+    labels = spark.createDataFrame([(0, "A"), (1, "B")], "label_idx int, icd_code string")
+    tasks, scanned = [], md._Losses.at
+    monkeypatch.setattr(
+        md._Losses, "at", lambda self, *a: tasks.append(self.blocks.rdd.getNumPartitions()) or scanned(self, *a)
+    )
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")  # the written rows come in many pieces
+    try:
+        model = md.fit_ovr_logistic(rows.select("hadm_id", "features"), rows.select("hadm_id", "y"), labels, 12).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tasks and max(tasks) <= spark.sparkContext.defaultParallelism
+    x, y = np.zeros((400, 13)), np.array([r[2] for r in data])
+    x[:, 12] = 1.0
+    for i, (_, features, _) in enumerate(data):
+        for term, weight in features:
+            x[i, term] = weight
+    for r in model:
+        on, w = y[:, r.label_idx] == 1, np.array([*r.coefficients, r.intercept])
+        weight = np.where(on, 400 / (2 * on.sum()), 400 / (2 * (~on).sum()))
+        slope = x.T @ (weight * (1 / (1 + np.exp(-x @ w)) - on)) / 400
+        slope[:12] += w[:12] / 400
+        assert np.abs(slope).max() <= 1e-4  # the tolerance of the fit
