@@ -313,3 +313,18 @@ def test_gradient_sums_of_many_files_come_from_one_task_a_core(spark, monkeypatc
         slope = x.T @ (weight * (1 / (1 + np.exp(-x @ w)) - on)) / 400
         slope[:12] += w[:12] / 400
         assert np.abs(slope).max() <= 1e-4  # the tolerance of the fit
+
+
+def test_weights_of_documents_taken_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(fx, "WEIGHED_TERMS", 7)
+    docs = {i: [f"w{j:02}" for j in range(i % 13)] for i in range(60)}  # some without terms, some above the limit
+    kind = "hadm_id long, terms array<struct<term:string,tf:int>>"
+    table = spark.createDataFrame([(i, [(t, 1 + k % 3) for k, t in enumerate(ts)]) for i, ts in docs.items()] + [(99, None)], kind)
+    idf = spark.createDataFrame([(k, f"w{k + 1:02}", 1.0 + k / 10) for k in range(10)], "term_idx int, term string, idf double")
+    got = {r.hadm_id: r.features for r in fx.tfidf(table.coalesce(1), idf).collect()}
+    assert got.pop(99) == [] and len(got) == len(docs)
+    for i, ts in docs.items():
+        want = {k - 1: (1 + np.log(1 + k % 3)) * (1 + (k - 1) / 10) for k in range(1, min(len(ts), 11))}
+        norm = np.sqrt(sum(w * w for w in want.values()))
+        assert [f.term_idx for f in got[i]] == list(want)
+        assert np.allclose([f.weight for f in got[i]], [w / norm for w in want.values()])
