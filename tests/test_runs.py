@@ -296,7 +296,7 @@ def test_gradient_sums_of_many_files_come_from_one_task_a_core(spark, monkeypatc
     monkeypatch.setattr(
         md._Losses, "at", lambda self, *a: tasks.append(self.blocks.rdd.getNumPartitions()) or scanned(self, *a)
     )
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")  # the written rows come in many pieces
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # the written rows come in many pieces
     try:
         model = md.fit_ovr_logistic(rows.select("hadm_id", "features"), rows.select("hadm_id", "y"), labels, 12).collect()
     finally:
