@@ -10,6 +10,7 @@ from cohortloom.operators import ordered as od
 from cohortloom.session import cut_lineage
 from cohortloom.operators import profile as pf
 from cohortloom.operators import splits as sp
+from cohortloom.sources import views
 
 DX = "hadm_id long, icd_code string, icd_version int"
 
@@ -273,3 +274,23 @@ def test_ranges_grow_with_rows(rows, monkeypatch):
             assert (r.upto, r.total) == (sum(v for i, v in mine if i <= r.k), sum(v for _, v in mine))
         assert len(out) == n
     assert found == [1, 4, 16]
+
+
+def test_the_join_of_the_codes_is_dealt_by_its_rows(spark, rows, tmp_path, monkeypatch):
+    orders = rows([(i, i % 7, "F" if i % 3 else "O") for i in range(200)] + [(None, 1, "F")], "o_orderkey long, o_custkey long, o_orderstatus string")
+    lines = [(i // 3, i, i % 3 + 1) for i in range(600)] + [(None, 1, 1), (9999, 2, 1)]
+    lines = rows(lines, "l_orderkey long, l_partkey long, l_linenumber int")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+
+    def tasks(df):
+        found = df.groupBy(F.spark_partition_id()).count().collect()
+        return len(found), max(r["count"] for r in found)
+
+    plain = views.view(spark, str(tmp_path), "diagnoses")
+    whole = sorted(plain.collect())
+    monkeypatch.setattr(views, "TASK_ROWS", 20)
+    dealt = views.view(spark, str(tmp_path), "diagnoses")
+    assert sorted(dealt.collect()) == whole and len(whole) == 600
+    n, most = tasks(dealt)
+    assert n > 8 and most < 80  # no coalescing by bytes; many small keys to a task
