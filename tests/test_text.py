@@ -121,3 +121,28 @@ def test_ngrams(spark, low, high):
     want = [" ".join(words[i:i + n]) for n in range(low, high + 1) for i in range(len(words) - n + 1)]
     assert got[0] == want
     assert got[1] == (["aa"] if low == 1 else [])
+
+
+def test_words_and_terms_are_one_pass_of_arrow(spark):
+    texts = [(1, "Cafe\u0301 au lait Caf\u00e9"), (2, None), (3, ""), (4, "x"), (5, "\u0e33\u0327 \u1e9b\u0323 na\u00efve " * 3), (6, "aa  bb")]
+    df = spark.createDataFrame(texts * 60, "hadm_id long, text string").coalesce(1)
+    found = fx.document_terms(df)
+    plan = found._jdf.queryExecution().toString()
+    # neither a regular expression nor a lambda per item is left to rows
+    assert "ArrowEvalPython" in plan and "regexp" not in plan and "lambda" not in plan
+    for row in found.collect():
+        words = py_words(dict(texts)[row.hadm_id])
+        grams = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        assert [tuple(t) for t in row.terms] == sorted((g, grams.count(g)) for g in set(grams))
+
+
+def test_counts_do_not_depend_on_pieces(monkeypatch):
+    import pyarrow as pa
+
+    lists = pa.array([["b", "a", "b"], [], None, ["c"] * 5, ["a"]])
+    want = [[{"term": "a", "tf": 1}, {"term": "b", "tf": 2}], [], [], [{"term": "c", "tf": 5}], [{"term": "a", "tf": 1}]]
+    assert fx._counted(lists).to_pylist() == want
+    monkeypatch.setattr(fx, "WEIGHED_TERMS", 2)
+    assert fx._counted(lists).to_pylist() == want
+    assert fx._counted(lists.slice(3)).to_pylist() == want[3:]
+    assert tx._ngrams(lists.slice(3), 1, 2).to_pylist() == [["c"] * 5 + ["c c"] * 4, ["a"]]
