@@ -211,3 +211,25 @@ def test_cooccurrence_aggregates_are_plain(rows):
     names = sorted({c for s in held.values() for c in s})
     assert got == {(a, b): sum(a in s and b in s for s in held.values()) for a in names for b in names}
     assert "ObjectHashAggregate" not in label_cooccurrence(codes, 40)._jdf.queryExecution().toString()
+
+
+def test_a_product_holds_what_a_cache_does():
+    import tracemalloc
+
+    import numpy as np
+
+    from cohortloom.operators import model as md
+
+    rng = np.random.default_rng(0)
+    n, per, width, labels = 400, 1000, 5000, 25
+    terms = rng.integers(0, width, n * per)
+    block = md._Block(np.arange(n + 1) * per, terms, rng.random(n * per))
+    matrix = rng.random((width, labels))
+    tracemalloc.start()
+    got = block.product(matrix)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    dense = np.zeros((n, width))
+    np.add.at(dense, (np.repeat(np.arange(n), per), terms), block.values)
+    assert np.allclose(got, dense @ matrix)
+    assert peak < 32e6
