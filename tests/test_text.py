@@ -146,3 +146,18 @@ def test_counts_do_not_depend_on_pieces(monkeypatch):
     assert fx._counted(lists).to_pylist() == want
     assert fx._counted(lists.slice(3)).to_pylist() == want[3:]
     assert tx._ngrams(lists.slice(3), 1, 2).to_pylist() == [["c"] * 5 + ["c c"] * 4, ["a"]]
+
+
+def test_vectors_are_assembled_by_batches(spark):
+    cells = "array<struct<term_idx:int,weight:double>>"
+    data = [(1, [(0, 0.5), (3, 0.25)]), (2, []), (3, [(6, 1.0)])] * 20
+    df = spark.createDataFrame(data, f"hadm_id long, features {cells}").coalesce(1)
+    made = fx.assemble_sparse_vectors(df, 7)
+    assert "ArrowEvalPython" in made._jdf.queryExecution().toString()
+    got = {r.hadm_id: r.features for r in made.collect()}
+    assert {k: (v.size, dict(zip(v.indices.tolist(), v.values.tolist()))) for k, v in got.items()} == {
+        1: (7, {0: 0.5, 3: 0.25}), 2: (7, {}), 3: (7, {6: 1.0}),
+    }
+    for wrong in ([(7, 1.0)], [(3, 1.0), (2, 1.0)]):
+        with pytest.raises(Exception, match="feature"):
+            fx.assemble_sparse_vectors(spark.createDataFrame([(1, wrong)], df.schema), 7).collect()
