@@ -357,3 +357,38 @@ def test_language_model_knows_only_ascii_letters_and_spaces(rows):
         base = sum(np.log10((ones[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w)
         assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (len(w), sum(ones[x] > 0 for x in w), total)
         assert row["held_out"] == (doc == held) and abs(row["base_score"] - base) < 1e-9
+
+
+@pytest.mark.parametrize(("order", "slices"), [(2, False), (3, False), (3, True), (4, True)])
+def test_language_model_of_any_order_by_the_formula(rows, monkeypatch, order, slices):
+    if slices:  # frequent pairs in several shards
+        monkeypatch.setattr(trie_lm, "SLICE_GRAMS", 20)
+        monkeypatch.setattr(trie_lm, "SHARD_GRAMS", 300)
+        monkeypatch.setattr(trie_lm, "COMMON", 1_000)
+    draw = random.Random(8)
+    texts = {i: " ".join(draw.choice(BASE[: 3 + i % 9]) for _ in range(draw.randrange(60))) for i in range(70)}
+    cut = {d: ["s"] * (order - 1) + t.split() + ["end"] for d, t in texts.items()}
+    out = {d: trie_lm.held_out(d) for d in cut}
+    grams, contexts = Counter(), Counter()
+    for w in (w for d, w in cut.items() if not out[d]):
+        for j in range(order - 1, len(w)):
+            for k in range(order):
+                grams[tuple(w[j - k : j + 1])] += 1
+                contexts[tuple(w[j - k : j])] += 1
+    total, kinds = contexts[()], sum(len(g) == 1 for g in grams)
+    got = by_id(trie_lm.scores(rows([(d, t, "x", 1) for d, t in texts.items()], SCHEMA).repartition(4), order=order))
+    for doc, w in cut.items():
+        want = 0.0
+        for j in range(order - 1, len(w)):
+            p = (grams[(w[j],)] + 0.5) / (total + 0.5 * (kinds + 1))
+            for k in range(1, order):
+                p = (grams[tuple(w[j - k : j + 1])] + trie_lm.MU * p) / (contexts[tuple(w[j - k : j])] + trie_lm.MU)
+            want += np.log10(p)
+        assert abs(got[doc]["score"] - want) <= 2e-3 * (len(w) - order + 1)
+
+
+def test_trie_level_answers_with_childless_parents_and_absent_words():
+    parent, word = np.array([1, 1, 3, 3]), np.array([2, 7, 0, 9])
+    level = trie_lm.Level(parent, word, 5, np.full(4, 0.5), np.full(4, 0.5))
+    asked = [(1, 2), (1, 7), (3, 0), (3, 9), (0, 2), (1, 0), (1, 9), (2, 0), (3, 7), (4, 0), (-1, 2)]
+    assert level.find(*np.array(asked).T).tolist() == [0, 1, 2, 3, -1, -1, -1, -1, -1, -1, -1]
