@@ -392,3 +392,24 @@ def test_trie_level_answers_with_childless_parents_and_absent_words():
     level = trie_lm.Level(parent, word, 5, np.full(4, 0.5), np.full(4, 0.5))
     asked = [(1, 2), (1, 7), (3, 0), (3, 9), (0, 2), (1, 0), (1, 9), (2, 0), (3, 7), (4, 0), (-1, 2)]
     assert level.find(*np.array(asked).T).tolist() == [0, 1, 2, 3, -1, -1, -1, -1, -1, -1, -1]
+
+
+def test_anchors_are_the_first_smallest_grams_of_their_windows():
+    draw, run = random.Random(3), repeats.SPAN - repeats.GRAM + 1
+    for values in ([draw.randrange(6) for _ in range(400)], [7] * 90, list(range(99, 0, -1)), [5] * run):
+        grams = np.array(values, np.uint64)
+        want = [i + values[i : i + run].index(min(values[i : i + run])) for i in range(len(values) - run + 1)]
+        window, place = repeats._smallest(grams, run)
+        assert window[0] == 0 and (np.diff(place) != 0).all()
+        assert np.repeat(place, np.diff(np.append(window, len(want)))).tolist() == want
+
+
+def test_contexts_travel_with_four_bytes_of_their_bucket():
+    data = bytes(random.Random(5).randrange(97, 123) for _ in range(4_000))
+    block = {"block": 0, "doc_ids": [1, 2], "sizes": [len(data)] * 2, "n_bytes": 2 * len(data),
+             "data": repeats.zstandard.ZstdCompressor().compress(data * 2)}
+    marks, several = repeats._marks_of(block)
+    rows = [r for r in repeats._asked(block, marks[several > 0], 1) if r[0] == 0]
+    kept = repeats._contexts_of(block, marks[several > 0])
+    bucket, sizes = repeats._unpacked(rows[0][2], "<u4", "<u2")
+    assert bucket.tolist() == sorted(b >> 32 for b, _ in {(b, c) for b, c, _, _ in kept}) and len(sizes) == len(bucket)
