@@ -6,6 +6,10 @@ order, and up to the nearer end of their prefixes they differ by no more tokens
 Pairs that pass both tests under all orders are verified. All orders put the most frequent prefix tokens
 last, which changes which pairs are tried and never which are found.
 
+A set also has a sketch: the parity of its tokens in each of some cells. A token that one of two sets lacks
+turns one cell, so sets differ by no fewer tokens than their sketches by cells; pairs that differ by more than
+similar sets may are dropped where they meet, before their prefixes are fetched.
+
 Large groups: each prefix token first links its sets to one of them, drawn per token (as many tries as
 rows). Sets that verified links already join need no further pair, since only the component counts.
 """
@@ -13,11 +17,13 @@ rows). Sets that verified links already join need no further pair, since only th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.llm.common import components, texts, union
@@ -30,6 +36,9 @@ LATE_TOKENS = 3_000_000
 LATE_BITS = 27
 ORDERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd multipliers, each giving an order
 
+# Numbers of 64 cells in the sketch of a set, and in the shorter one that its prefix tokens carry.
+SKETCH, SHORT = 16, 4
+
 # Words known at once in one Python worker, and ids that are broadcast at most (8 bytes each).
 CACHE_WORDS = 100_000
 BROADCAST_IDS = 1_000_000
@@ -96,6 +105,30 @@ def prefix(tokens: np.ndarray, order: int, percent: int, late: np.ndarray) -> np
     return (np.sort(rank) ^ _HIGH).view(np.int64)
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of ``SKETCH`` numbers for each set: 64 cells each, set where an odd number of tokens falls."""
+    cells = 64 * SKETCH
+    tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)) * cells, [len(s) for s in sets])
+    odd = np.bincount(owner + (tokens % np.uint64(cells)).astype(np.int64), minlength=len(sets) * cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(-1, SKETCH)
+
+
+def _near_sketches(a: str, b: str, percent: int, numbers: int) -> Column:
+    """Whether the first ``numbers`` of the sketches under two aliases allow the similarity.
+
+    Similar sets differ by (1 - t) / (1 + t) of their sizes' sum at most.
+    """
+    turned = reduce(add, [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(numbers)])
+    return turned * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
+
+
+def _folded() -> list[Column]:
+    """The sketch with its cells laid on top of each other, which leaves ``SHORT`` numbers."""
+    parts = [[F.col(f"s{j}") for j in range(i, SKETCH, SHORT)] for i in range(SHORT)]
+    return [reduce(Column.bitwiseXOR, part).alias(f"s{i}") for i, part in enumerate(parts)]
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     """(rep, toks) for the given documents (doc_id, text)."""
 
@@ -125,7 +158,8 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, late) -> DataFrame:
-    """(doc_id, n, digest, p0, p1): set size, 128-bit digest of the set and its prefixes."""
+    """(doc_id, n, digest, s0, s1, .., p0, p1): set size, 128-bit digest of the set, its sketch and its prefixes."""
+    names = [f"s{i}" for i in range(SKETCH)]
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         behind = late.value
@@ -138,12 +172,14 @@ def _prefixes(docs: DataFrame, size: int, percent: int, late) -> DataFrame:
                         ids,
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                        *[pa.array(np.ascontiguousarray(column)) for column in sketches(sets).T],
                         *firsts,
                     ],
-                    ["doc_id", "n", "digest", "p0", "p1"],
+                    ["doc_id", "n", "digest", *names, "p0", "p1"],
                 )
 
-    return docs.mapInArrow(make, "doc_id long, n long, digest binary, p0 array<long>, p1 array<long>")
+    numbers = ", ".join(f"{name} long" for name in names)
+    return docs.mapInArrow(make, f"doc_id long, n long, digest binary, {numbers}, p0 array<long>, p1 array<long>")
 
 
 def _tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -219,11 +255,23 @@ def _possible(pairs: DataFrame, some: DataFrame, percent: int) -> DataFrame:
     return both.filter(test).select("a", "b")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of class ids whose sketches allow the similarity."""
+    numbers = [f"s{i}" for i in range(SKETCH)]
+    x, y = (heads.select(F.col("rep").alias(c), F.struct("n", *numbers).alias(to)) for c, to in (("a", "x"), ("b", "y")))
+    both = pairs.join(x, "a").join(y, "b")
+    return both.filter(_near_sketches("x", "y", percent, SKETCH)).select("a", "b").distinct()
+
+
+def _verified(
+    pairs: DataFrame, heads: DataFrame, described: DataFrame, docs: DataFrame, size: int, percent: int
+) -> DataFrame:
     """Written pairs (a, b) of class ids whose sets reach the similarity; text is read for their members only."""
-    tried = cut_lineage(pairs, "pairs")
+    tried = cut_lineage(_near(pairs, heads, percent), "pairs")
     named = _named("rep", tried)
-    pairs = cut_lineage(_possible(tried, _among(reps, "rep", named), percent), "possible")
+    some = _among(described.withColumnRenamed("doc_id", "rep"), "rep", named)
+    some = some.filter("n > 0").select("rep", "digest", "n", "p0", "p1").dropDuplicates(["rep", "digest"])
+    pairs = cut_lineage(_possible(tried, some, percent).distinct(), "possible")
     discard(tried, named)
     named = _named("doc_id", pairs)
     sets = cut_lineage(_sets(_among(docs, "doc_id", named), size), "sets")
@@ -260,55 +308,56 @@ def linked(
 
     described = cut_lineage(_prefixes(base, size, percent, shared), "prefixes")
     usable = described.filter("n > 0 and doc_id is not null")
+    numbers = [f"s{i}" for i in range(SKETCH)]
     classes = cut_lineage(
-        usable.groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "classes"
+        usable.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in numbers]),
+        "classes",
     )
-    reps = cut_lineage(
-        usable.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-        .dropDuplicates(["doc_id", "digest"])
-        .select(F.col("doc_id").alias("rep"), "n", "p0", "p1"),
-        "reps",
+    heads = classes.select("rep", "n", *numbers)
+    # the prefix tokens that several documents have, then those of one document of each class
+    entries = usable.select("n", F.posexplode("p0").alias("pos", "t"), F.col("doc_id").alias("rep"))
+    side = Window.partitionBy("t").orderBy("rep")
+    met = entries.withColumn("p", F.lag("rep").over(side)).withColumn("q", F.lead("rep").over(side))
+    met = met.filter("p is not null or q is not null").select("t", "rep", "n", "pos")
+    cells = cut_lineage(
+        met.join(classes.select("rep", "n").distinct(), ["rep", "n"], "left_semi").distinct(), "cells"
     )
-    entries = reps.select("rep", "n", F.posexplode("p0").alias("pos", "t"))
     near = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     # at the first token that two sets share, all tokens before it differ: a similar pair meets there at places
     # that add up to no more than similar sets may differ by; a pair that does not, meets nowhere
     early = lambda x, y, i, j: (i + j) * (100 + percent) <= (x + y) * (100 - percent)
     # as many tries as rows: every set with the one its token draws
-    drawn = F.struct(F.xxhash64("rep", "t").alias("x"), F.col("rep").alias("q"), F.col("n").alias("m"), F.col("pos").alias("j"))
-    pivots = entries.groupBy("t").agg(F.min(drawn).alias("d"), F.count("*").alias("c"))
-    pivots = pivots.filter("c > 1").select("t", "d.q", "d.m", "d.j")
+    drawn = Window.partitionBy("t").orderBy("x", "rep")
+    tries = cells.withColumn("x", F.xxhash64("rep", "t"))
+    tries = tries.select("rep", "n", "pos", F.first(F.struct(F.col("rep").alias("q"), F.col("n").alias("m"), F.col("pos").alias("j"))).over(drawn).alias("d"))
     tries = (
-        entries.join(pivots, "t")
+        tries.select("rep", "n", "pos", "d.q", "d.m", "d.j")
         .filter((F.col("rep") != F.col("q")) & near(F.col("n"), F.col("m")))
         .filter(early(F.col("n"), F.col("m"), F.col("pos"), F.col("j")))
         .select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b")).distinct()
     )
-    stars = _verified(tries, reps, base, size, percent)
+    stars = _verified(tries, heads, described, base, size, percent)
     joined = cut_lineage(components(stars), "joined")
     # all other pairs, between sets that no verified link joins so far
-    grouped = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+    grouped = cells.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "g", F.coalesce("root", "rep")
     )
     grouped = cut_lineage(grouped.drop("root"), "grouped")
-    discard(joined)
-
-    def meeting(p: str) -> DataFrame:
-        rows = grouped.select("rep", "n", "g", F.posexplode(p).alias("pos", "t"))
-        rows = rows.join(rows.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
-                         .filter("lo <> hi").select("t"), "t")
-        x, y = rows.alias("x"), rows.alias("y")
-        return x.join(
-            y,
-            (F.col("x.t") == F.col("y.t")) & (F.col("x.rep") < F.col("y.rep"))
-            & (F.col("x.g") != F.col("y.g")) & near(F.col("x.n"), F.col("y.n"))
-            & early(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")),
-        ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-
-    rest = meeting("p0").join(meeting("p1"), ["a", "b"])
-    others = _verified(rest, reps, base, size, percent)
+    mixed = grouped.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("t")
+    rows = grouped.join(mixed, "t").join(heads.select("rep", "n", *_folded()), ["rep", "n"])
+    rows = cut_lineage(rows, "mixed")
+    discard(joined, grouped, cells)
+    x, y = rows.alias("x"), rows.alias("y")
+    rest = x.join(
+        y,
+        (F.col("x.t") == F.col("y.t")) & (F.col("x.rep") < F.col("y.rep"))
+        & (F.col("x.g") != F.col("y.g")) & near(F.col("x.n"), F.col("y.n"))
+        & early(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"))
+        & _near_sketches("x", "y", percent, SHORT),
+    ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    others = _verified(rest, heads, described, base, size, percent)
     roots = components(union([stars, others])).withColumnRenamed("node", "rep")
-    discard(stars, others, reps, grouped)
+    discard(stars, others, rows)
     roots = classes.join(roots, "rep", "left").select("digest", "n", F.coalesce("root", "rep").alias("c"))
     return described.join(roots, ["digest", "n"], "left").select(
         "doc_id",

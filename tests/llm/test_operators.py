@@ -255,6 +255,37 @@ def test_links_survive_hot_tokens(rows, monkeypatch):
     assert [got[i]["component_id"] for i in range(len(data))] == root and len(set(root)) < len(data) - 20
 
 
+def test_pairs_beyond_the_similarity_are_not_written(rows, monkeypatch):
+    # texts of one origin, all pairs of them somewhat below the threshold, and two that link
+    draw, written, cut = random.Random(3), Counter(), jaccard.cut_lineage
+    fresh = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    base, data = fresh(200), []
+    for _ in range(60):
+        data.append(" ".join(base[:150] + fresh(20) + base[150:]))
+    data.append(data[0] + " end")
+
+    def counted(df, label):
+        table = cut(df, label)
+        written[label] += table.count()
+        return table
+
+    monkeypatch.setattr(jaccard, "cut_lineage", counted)
+    got = by_id(jaccard.linked(rows([(i, t, "", 1) for i, t in enumerate(data)], SCHEMA), 3, 90))
+    assert [got[i]["component_id"] for i in range(61)] == [*range(60), 0]
+    assert 1 <= written["pairs"] < 61
+
+
+def test_sketches_differ_by_no_more_than_sets():
+    draw = np.random.default_rng(2)
+    many = draw.integers(0, 2**63, 3_000).astype(np.uint64)
+    sets = [np.unique(draw.choice(many, n)) for n in (0, 1, 5, 40, 300, 2_900, 3_000)]
+    bits = np.unpackbits(jaccard.sketches(sets).view(np.uint8), axis=1)
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            assert (bits[a] != bits[b]).sum() <= len(np.setxor1d(sets[a], sets[b]))
+    assert bits[3].sum() >= 30
+
+
 def test_language_model(docs):
     got, texts = by_id(trie_lm.scores(docs)), text_of(docs)
     cut = {d: [x for x in re.split("[ \t-\r]+", t.lower() if t.isascii() else t) if x] + [0] for d, t in texts.items()}
