@@ -68,6 +68,9 @@ class TokenIds:
         self.merges = Tokenizer(self.full.model)  # no normaliser, no cutting: words in, ids out
         self.special = [str(t.content) for t in self.full.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
+        vocabulary, suffix = self.merges.get_vocab(), getattr(self.merges.model, "end_of_word_suffix", None) or ""
+        self.widths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # letters each id stands for
+        self.widths[list(vocabulary.values())] = [len(token.removesuffix(suffix)) for token in vocabulary]
         self.plain = self._plain_text()
         self.forget()
 
@@ -93,18 +96,43 @@ class TokenIds:
         """Empty the cache, also at the end of a task: a worker goes on to other stages, which need its memory."""
         self.numbers: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)  # ids of all words, one after the other
-        self.starts = np.zeros(1, np.int64)  # word number to its place in flat; one more at the end
+        self.starts = np.zeros(1, np.int32)  # word number to its place in flat; one more at the end
+
+    def _keep(self, words: set[str]) -> None:
+        """Make room in a full cache: of the words known so far, only those of the present texts stay."""
+        kept = [w for w in words if w in self.numbers]
+        number = np.fromiter(map(self.numbers.__getitem__, kept), np.int32, len(kept))
+        begin, count = self.starts[number], self.starts[number + 1] - self.starts[number]
+        ends = np.cumsum(count, dtype=np.int32)
+        self.flat = self.flat[np.repeat(begin - (ends - count), count) + np.arange(int(count.sum()))]
+        self.starts = np.concatenate([np.zeros(1, np.int32), ends])
+        self.numbers = dict(zip(kept, range(len(kept))))
 
     def _learn(self, words: list[str]) -> None:
         """Take words not seen before through the merges and append them to the tables."""
         letters = self.letters
         shown = [w if w.isascii() else "".join([letters[b] for b in w.encode()]) for w in words]
-        done = self.merges.encode(shown, is_pretokenized=True, add_special_tokens=False)
-        counts = np.bincount(np.array(done.word_ids, np.int64), minlength=len(words))
+        ids, counts = self._merged(shown)
         first = len(self.numbers)
         self.numbers.update(zip(words, range(first, first + len(words))))
-        self.flat = np.concatenate([self.flat, np.array(done.ids, np.uint32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        self.flat = np.concatenate([self.flat, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts, dtype=np.int32)])
+
+    def _merged(self, shown: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and how many each has, told by the letters that the ids stand for.
+
+        The quick call of the library does not say which id is of which word. Should the letters of the ids not
+        end where each word ends, its other call says so.
+        """
+        done = self.merges.encode_batch_fast([shown], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.array(done.ids, np.uint32)
+        reached = np.cumsum(self.widths[ids])
+        ends = np.cumsum(np.fromiter(map(len, shown), np.int64, len(shown)))
+        upto = np.searchsorted(reached, ends, "right")
+        if len(ids) and upto[-1] == len(ids) and upto[0] > 0 and np.array_equal(reached[upto - 1], ends):
+            return ids, np.diff(upto, prepend=0)
+        done = self.merges.encode(shown, is_pretokenized=True, add_special_tokens=False)
+        return np.array(done.ids, np.uint32), np.bincount(np.array(done.word_ids, np.int64), minlength=len(shown))
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each text has; null counts as empty."""
@@ -120,18 +148,18 @@ class TokenIds:
                 words += cut
             else:
                 odd.append(i)
-        fresh = list(set(words).difference(self.numbers))
+        distinct = set(words)
+        fresh = list(distinct.difference(self.numbers))
         if len(self.numbers) + len(fresh) > CACHE_WORDS:
-            self.forget()
-            fresh = list(set(words))
+            self._keep(distinct)
         if fresh:
             self._learn(fresh)
-        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        begin, count = self.starts[number], self.starts[number + 1] - self.starts[number]
-        before = np.cumsum(count) - count
-        ids = self.flat[np.repeat(begin - before, count) + np.arange(int(count.sum()))]
-        text_of = np.repeat(np.arange(len(texts)), sizes)
-        lengths = np.bincount(text_of, weights=count, minlength=len(texts)).astype(np.int64)
+        number = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+        begin = self.starts[number]
+        count = self.starts[number + 1] - begin
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(count, dtype=np.int32)])
+        ids = self.flat[np.repeat(begin - ends[:-1], count) + np.arange(ends[-1], dtype=np.int32)]
+        lengths = np.diff(ends[np.cumsum(sizes)], prepend=0).astype(np.int64)
         return self._with_odd(texts, odd, ids, lengths) if odd else (ids, lengths)
 
     def _with_odd(self, texts, odd: list[int], ids: np.ndarray, lengths: np.ndarray):

@@ -130,6 +130,20 @@ def test_ids_of_every_character(name):
         assert ids[a:b].tolist() == coder.full.encode(text, add_special_tokens=False).ids, text
 
 
+def test_known_words_stay_when_the_cache_is_full(monkeypatch):
+    from cohortloom.llm import token_ids
+
+    monkeypatch.setattr(token_ids, "CACHE_WORDS", 30)
+    coder, learned = token_ids.TokenIds(token_ids.default_vocabulary()), []
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda words: (learned.append(len(words)), learn(words))[1])
+    old, new = [f"quixotic{x}" for x in BASE], [f"wörld{x}" for x in BASE[:15]]
+    for text in (" ".join(old), " ".join([*old, *new])):
+        ids, sizes = coder.encode([text, "", None])
+        assert ids.tolist() == coder.full.encode(text, add_special_tokens=False).ids and sizes.tolist() == [len(ids), 0, 0]
+    assert learned == [len(old), len(new)]
+
+
 def test_pieces_hold_every_id(docs):
     got = packing.pieces(docs, capacity=256).toPandas().sort_values(["doc_id", "start"])
     for doc, text in text_of(docs).items():
