@@ -165,14 +165,16 @@ def check_alignment(cohort: DataFrame, label_rows: DataFrame, dense: bool = True
         )
 
 
-def label_cooccurrence(diagnoses: DataFrame, top_k: int = 20, version: int = 10) -> DataFrame:
+def label_cooccurrence(
+    diagnoses: DataFrame, top_k: int = 20, version: int = 10, counts: DataFrame | None = None
+) -> DataFrame:
     """Admissions with both of two top codes, for all pairs in long form; zeros included.
 
     The labels of an admission become a few numbers of TILE bits, merged before the one shuffle of keys;
     no pair of rows is ever formed, and pair counts are merged before they move.
     """
     order = W.partitionBy(F.lit(0)).orderBy("icd_code")
-    first = top_frequency(diagnoses, top_k, version).select("icd_code")  # top_k rows
+    first = top_frequency(diagnoses, top_k, version, counts).select("icd_code")  # top_k rows
     labels = small_side(first.select((F.row_number().over(order) - 1).alias("label_idx"), "icd_code"))
     names = label_list(labels)
     if not names:

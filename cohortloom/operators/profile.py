@@ -278,14 +278,16 @@ def code_counts(diagnoses: DataFrame, version: int = 10) -> DataFrame:
     )
 
 
-def icd_frequency(diagnoses: DataFrame, version: int = 10) -> DataFrame:
-    """Code counts with the rank by rows, ties by code."""
-    return ranked(code_counts(diagnoses, version), [F.desc("n_codes"), F.col("icd_code")])
+def icd_frequency(diagnoses: DataFrame, version: int = 10, counts: DataFrame | None = None) -> DataFrame:
+    """Code counts with the rank by rows, ties by code; of given ``code_counts``, if several reports share them."""
+    return ranked(counts or code_counts(diagnoses, version), [F.desc("n_codes"), F.col("icd_code")])
 
 
-def top_frequency(diagnoses: DataFrame, k: int, version: int = 10) -> DataFrame:
+def top_frequency(
+    diagnoses: DataFrame, k: int, version: int = 10, counts: DataFrame | None = None
+) -> DataFrame:
     """The ``k`` most frequent codes with their rank."""
-    first = top(code_counts(diagnoses, version), [F.desc("n_codes"), F.col("icd_code")], k)
+    first = top(counts or code_counts(diagnoses, version), [F.desc("n_codes"), F.col("icd_code")], k)
     order = W.partitionBy(F.lit(0)).orderBy(F.desc("n_codes"), F.col("icd_code"))
     return first.withColumn("rank", F.row_number().over(order))  # k rows
 
@@ -297,10 +299,13 @@ def coded_admissions(diagnoses: DataFrame, version: int = 10) -> DataFrame:
 
 
 def top_k_coverage(
-    diagnoses: DataFrame, k_list: Sequence[int] = COVERAGE_K, version: int = 10
+    diagnoses: DataFrame,
+    k_list: Sequence[int] = COVERAGE_K,
+    version: int = 10,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Admissions with at least one of the top ``k`` codes, for every ``k`` in one pass."""
-    ranks = top_frequency(diagnoses, max(k_list), version).select("icd_code", "rank")
+    ranks = top_frequency(diagnoses, max(k_list), version, counts).select("icd_code", "rank")
     codes = filter_code_version(diagnoses, version)
     best = (
         codes.join(small_side(ranks), "icd_code", "left")
@@ -329,10 +334,14 @@ def join_code_titles(frequency: DataFrame, dictionary: DataFrame, version: int =
 
 
 def top_code_table(
-    diagnoses: DataFrame, dictionary: DataFrame, k: int = 50, version: int = 10
+    diagnoses: DataFrame,
+    dictionary: DataFrame,
+    k: int = 50,
+    version: int = 10,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """The report of the most frequent codes: display form, title, admissions and their share."""
-    titled = join_code_titles(top_frequency(diagnoses, k, version), dictionary, version)
+    titled = join_code_titles(top_frequency(diagnoses, k, version, counts), dictionary, version)
     total = coded_admissions(diagnoses, version).scalar()
     return titled.select(
         "rank",

@@ -28,11 +28,13 @@ def profile_tables(
         tables["icd_diagnoses"] = dictionary
     # the texts are measured once; the reports below read three numbers per note
     lengths = cut_lineage(pf.marker_counts(spread(notes)), "lengths")
-    per_admission = pf.codes_per_admission(diagnoses, version)
-    per_patient = pf.admissions_per_patient(admissions)
+    # what several reports read is merged once: it takes a shuffle of all codes or admissions each
+    counts = cut_lineage(pf.code_counts(diagnoses, version), "code-counts")
+    per_admission = cut_lineage(pf.codes_per_admission(diagnoses, version), "codes-per-admission")
+    per_patient = cut_lineage(pf.admissions_per_patient(admissions), "admissions-per-patient")
     at_version = diagnoses.filter(F.col("icd_version") == version)
-    losses = cv.cohort_coverage(notes, admissions, at_version)
-    by_year = pf.icd_version_by_year(diagnoses, admissions)
+    losses = cut_lineage(cv.cohort_coverage(notes, admissions, at_version), "cohort-coverage")
+    by_year = cut_lineage(pf.icd_version_by_year(diagnoses, admissions), "versions-by-year")
     report = {"volumetrics": pf.summarize_volumetrics(tables)}
     for name, df in tables.items():
         report[f"null_rates_{name}"] = pf.null_rate_by_column(df, name)
@@ -48,13 +50,13 @@ def profile_tables(
         "deid_markers": pf.marker_stats_of(lengths),
         "duplication": pf.note_duplication_summary(notes),
         "versions": pf.icd_version_distribution(diagnoses),
-        "versions_by_year": by_year,
+        "versions_by_year": by_year.orderBy("year", "icd_version"),
         "version_year_pivot": pf.version_year_pivot(by_year),
-        "frequency": pf.icd_frequency(diagnoses, version),
-        "top_k_coverage": pf.top_k_coverage(diagnoses, (*pf.COVERAGE_K, 2500), version),
+        "frequency": pf.icd_frequency(diagnoses, version, counts),
+        "top_k_coverage": pf.top_k_coverage(diagnoses, (*pf.COVERAGE_K, 2500), version, counts),
         "codes_per_admission": pf.codes_per_admission_stats(per_admission),
         "codes_per_admission_histogram": pf.capped_histogram(per_admission, "n_codes", 40),
-        "cooccurrence": label_cooccurrence(diagnoses, 20, version),
+        "cooccurrence": label_cooccurrence(diagnoses, 20, version, counts),
         "demographics": pf.patient_demographics(patients),
         "admissions_per_patient": pf.admissions_per_patient_stats(per_patient),
         "admissions_per_patient_histogram": pf.capped_histogram(per_patient, "n_admissions", 20),
@@ -67,7 +69,7 @@ def profile_tables(
         "total_cohort_loss": cv.total_cohort_loss(losses),
     }
     if dictionary is not None:
-        report["top_codes"] = pf.top_code_table(diagnoses, dictionary, 50, version)
+        report["top_codes"] = pf.top_code_table(diagnoses, dictionary, 50, version, counts)
     return report
 
 

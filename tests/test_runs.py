@@ -328,3 +328,23 @@ def test_weights_of_documents_taken_a_few_at_a_time(spark, monkeypatch):
         norm = np.sqrt(sum(w * w for w in want.values()))
         assert [f.term_idx for f in got[i]] == list(want)
         assert np.allclose([f.weight for f in got[i]], [w / norm for w in want.values()])
+
+
+def test_codes_are_counted_once_for_all_reports(spark, rows, monkeypatch):
+    notes = rows([("n1", 1, 10, "en", 0, "some words"), ("n2", 2, 20, "en", 0, None)],
+                 "note_id string, subject_id long, hadm_id long, note_type string, note_seq int, text string")
+    codes = rows([(1, 10, "A1", 10), (1, 10, "B2", 10), (2, 20, "A1", 10), (2, 20, None, 10), (2, 20, "C3", 9)],
+                 "subject_id long, hadm_id long, icd_code string, icd_version int")
+    stays = rows([(1, 10, "2020-01-01 00:00:00", "2020-01-03 00:00:00", 0), (2, 20, "2021-01-01 00:00:00", None, 1)],
+                 "subject_id long, hadm_id long, admittime string, dischtime string, hospital_expire_flag int")
+    people = rows([(1, "F", 40, 2020, "2020 - 2022"), (2, None, 50, 2020, "2020 - 2022")],
+                  "subject_id long, gender string, anchor_age int, anchor_year int, anchor_year_group string")
+    titles = rows([("A1", 10, "first"), ("B2", 10, "second")], "icd_code string, icd_version int, long_title string")
+    called, count = [], pp.pf.code_counts
+    monkeypatch.setattr(pp.pf, "code_counts", lambda *a, **k: (called.append(1), count(*a, **k))[1])
+    report = pp.profile_tables(notes, codes, stays, people, titles)
+    assert len(called) == 1
+    assert [(r.icd_code, r.n_codes, r.rank) for r in report["frequency"].orderBy("rank").limit(2).collect()] == [
+        ("A1", 2, 1), ("B2", 1, 2)
+    ]
+    assert [(r.rank, r.n_admissions) for r in report["top_codes"].limit(2).collect()] == [(1, 2), (2, 1)]
