@@ -161,3 +161,41 @@ def test_vectors_are_assembled_by_batches(spark):
     for wrong in ([(7, 1.0)], [(3, 1.0), (2, 1.0)]):
         with pytest.raises(Exception, match="feature"):
             fx.assemble_sparse_vectors(spark.createDataFrame([(1, wrong)], df.schema), 7).collect()
+
+
+def test_terms_of_long_texts_are_cut_in_pieces(spark):
+    import pyarrow as pa
+
+    from cohortloom import session
+
+    words = " ".join(f"w{i}" for i in range(2_000))
+    found = fx.document_terms(spark.createDataFrame([(0, "aa bb")], "hadm_id long, text string"))
+    _, (step,) = session._steps[found]
+    batch = pa.RecordBatch.from_pydict({"hadm_id": list(range(300)), "text": [words] * 300})
+    made = list(step(iter([batch])))
+    assert [k for b in made for k in b.column(0).to_pylist()] == list(range(300))
+    # a text is 10,890 bytes and 3,999 terms; terms of a whole batch used to be held together
+    assert max(b.num_rows for b in made) <= fx.CUT_BYTES // 10_000 and {len(t) for b in made for t in b.column(1)} == {3_999}
+
+
+@pytest.mark.parametrize("merged", [1, 7, 300_000])
+def test_vocabulary_of_texts_is_that_of_written_terms(spark, monkeypatch, merged):
+    from cohortloom.session import cut_lineage
+
+    monkeypatch.setattr(fx, "CUT_BYTES", 20)
+    monkeypatch.setattr(fx, "MERGED_TERMS", merged)
+    texts = [(1, "red fish blue fish red fish"), (1, ""), (2, None), (None, "red cod"), (4, "x"), (5, "café cod cafe")]
+    terms = fx.document_terms(spark.createDataFrame(texts, "hadm_id long, text string").coalesce(1))
+    plan = fx._uses(terms)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "ArrowEvalPython" not in plan
+    counts = {}
+    for _, text in texts:
+        words = py_words(text)
+        grams = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        for g in set(grams):
+            tf, df = counts.get(g, (0, 0))
+            counts[g] = tf + grams.count(g), df + 1
+    kept = sorted(sorted((g for g in counts if counts[g][1] >= 1), key=lambda g: (-counts[g][0], g))[:6])
+    for source in (terms, cut_lineage(terms, "terms")):
+        got = fx.vocabulary(source, 1, 6).orderBy("term_idx").collect()
+        assert [tuple(r) for r in got] == [(i, g, *counts[g]) for i, g in enumerate(kept)]
