@@ -348,3 +348,64 @@ def test_codes_are_counted_once_for_all_reports(spark, rows, monkeypatch):
         ("A1", 2, 1), ("B2", 1, 2)
     ]
     assert [(r.rank, r.n_admissions) for r in report["top_codes"].limit(2).collect()] == [(1, 2), (2, 1)]
+
+
+def test_products_of_blocks(monkeypatch):
+    import pyarrow as pa
+
+    draw = np.random.default_rng(5)
+    n, size, width = 60, 40, 3
+    x = draw.random((n, size)) * (draw.random((n, size)) < draw.random(size) ** 2)
+    x[[0, 7, n - 1]] = 0
+    rows = [[{"term_idx": j, "weight": float(v)} for j, v in enumerate(row) if v] for row in x]
+    kind = pa.list_(pa.struct([("term_idx", pa.int32()), ("weight", pa.float64())]))
+    matrix, slopes = draw.normal(size=(size, width)), draw.normal(size=(n, width))
+    whole = md._sparse(pa.array(rows, kind))
+    own, terms, uses = np.unique(whole.terms, return_inverse=True, return_counts=True)
+    rare = np.argsort(uses, kind="stable")
+    terms = np.argsort(rare)[terms]
+    block = md._Block(whole.starts, terms, whole.values, own[rare], np.argsort(terms, kind="stable"))
+    for cells in (1, 5, 4_000):
+        monkeypatch.setattr(md, "GROUP_CELLS", cells)
+        monkeypatch.setattr(md, "PRODUCT_CELLS", cells)
+        assert np.allclose(whole.product(matrix), x @ matrix) and np.allclose(block.product(matrix), x @ matrix)
+        sums = np.ones((size, width))
+        block.add_transposed(slopes, sums)
+        assert np.allclose(sums, 1 + x.T @ slopes)
+
+
+def test_tasks_of_a_scan_have_as_many_blocks(spark, monkeypatch):
+    features = spark.createDataFrame(
+        [(i, [(j, 1.0 + i) for j in range(1 + i % 5)]) for i in range(90)], "hadm_id long, features array<struct<term_idx:int,weight:double>>"
+    ).coalesce(1)
+    vectors = spark.createDataFrame([(i, [i % 2]) for i in range(90)], "hadm_id long, y array<int>")
+    labels = spark.createDataFrame([(0, "A")], "label_idx int, icd_code string")
+    dealt, made = [], md._Losses.__init__
+
+    def init(self, blocks, *rest):
+        dealt.extend(r["count"] for r in blocks.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        made(self, blocks, *rest)
+
+    monkeypatch.setattr(md._Losses, "__init__", init)
+    monkeypatch.setattr(md, "BLOCK_CELLS", 3)
+    md.fit_ovr_logistic(features, vectors, labels, 5, ModelParams(max_iter=2))
+    cores = spark.sparkContext.defaultParallelism
+    assert len(dealt) == min(cores, sum(dealt)) and max(dealt) <= 3 * sum(dealt) / cores
+
+
+def test_texts_are_scored_in_one_worker(spark, run):
+    from cohortloom.session import cut_lineage
+
+    stages, _ = run
+    model, idf = md.load_model(spark, stages)
+    size = idf.count()
+    texts = [(i, t) for i, t in enumerate(["", None, "x", *[r.term for r in idf.limit(20).collect()]])]
+    notes = spark.createDataFrame([(i, f"{t} {t} pain" if t else t) for i, t in texts], "hadm_id long, text string")
+    terms = fx.document_terms(notes)
+    scored = md.predict_proba(fx.tfidf(terms, idf), model, size)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    written = fx.tfidf(cut_lineage(terms, "terms"), idf)
+    apart = md.predict_proba(cut_lineage(written, "features"), model, size)
+    got, want = ({r.hadm_id: {s.icd_code: s.prob for s in r.scores} for r in df.collect()} for df in (scored, apart))
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
